@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, trie_dedup
+from . import language_id, near_dedup, order_minhash, packing, sharding, toxicity, trie_dedup, warc
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -27,19 +27,47 @@ def op2_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("low_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(_table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), k=4)
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(_table(spark, sf_dir, "pages"))
+    return warc.records(warc.read_warc(manifest, with_data=False))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), SEQUENCE, with_ids=False).drop("ids")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_trie_dedup": op2_trie_dedup,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
@@ -50,5 +78,17 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        first_value(doc_id) OVER w = doc_id AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id)
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html),
+d AS (SELECT html, top, sha1(html) AS hex FROM g),
+bits AS (SELECT html, list_transform(range(8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS fives FROM d),
+b32 AS (SELECT html, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS digest FROM bits)
+SELECT p.page_id, octet_length(encode(p.html)) AS payload_bytes, b32.digest AS payload_digest,
+       CASE WHEN p.page_id = g.top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> g.top THEN g.top END AS refers_to
+FROM p JOIN g USING (html) JOIN b32 USING (html)
 """,
 }
