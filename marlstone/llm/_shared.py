@@ -129,12 +129,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs without ASCII white space) of a batch: starts, ends, 64-bit hashes, and the n+1 word offsets of the texts."""
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch, A-Z lower-cased: starts, ends, 64-bit hashes, and the n+1 word offsets of the texts.
+
+    ``apart`` tells which of the 256 bytes stand between words: ASCII white space by default."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~apart[buf]
     first = np.empty(len(buf), bool)
     first[0] = True
     first[1:] = ~solid[:-1]
@@ -148,7 +150,7 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
     ends = np.flatnonzero(solid & last) + 1
     pw, inv = _powers(len(buf) + 1)
     run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_RAND[_LOWER[buf] if lower else buf] * pw[: len(buf)], out=run[1:])
+    np.cumsum(_RAND[_LOWER[buf]] * pw[: len(buf)], out=run[1:])
     h = mix((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
     return starts, ends, h, np.searchsorted(starts, off)
 

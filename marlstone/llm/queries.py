@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, order_minhash, packing, sharding, toxicity, trie_dedup, warc
+from . import language_id, line_dedup, near_dedup, order_minhash, packing, sharding, toxicity, trie_dedup, warc
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -23,6 +23,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup.line_dedup(docs).select("doc_id", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("low_id")
 
@@ -60,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_trie_dedup": op2_trie_dedup,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
@@ -71,6 +77,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+r AS (SELECT doc_id, line, i, (h + 31 * coalesce(lag(h) OVER w, 0)) % 4 = 0 AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, line, i, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
+g AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, k),
+f AS (SELECT *, row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, k) > 1 AND n > 1 AS gone FROM g)
+SELECT doc_id, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
+FROM f GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+""",
     "op2_trie_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

@@ -32,11 +32,15 @@ THRESHOLD = 0.3
 _OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
+#: Bytes between words: ASCII other than letters and digits.
+APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word number (among the batch's distinct words) of each word, word offsets of the texts, then for each distinct word its bucket
     and, end to end with offsets, the buckets of its character n-grams."""
     buf, off = utf8(texts)
-    starts, ends, h, at = words(buf, off)
+    starts, ends, h, at = words(buf, off, APART)
     hs, first, inv = np.unique(h, return_index=True, return_inverse=True)
     s, n = starts[first], (ends - starts)[first]
     low = buf.copy()
@@ -180,12 +184,13 @@ def window_ids(inv: np.ndarray, begin: np.ndarray, n: np.ndarray, pad: int) -> n
     return np.where(step < n, inv[np.minimum(begin + step, len(inv) - 1)], pad)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 2, batch: int = 32, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, batch: int = 16, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
     """Adam on the log loss of a document's log-sum-exp; of a longer document's windows ``per_doc`` are used in
     an epoch: drawn at random in the first, later half at random and half those that score highest so far."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
+    epochs = epochs or max(2, min(5, 10_000 // len(texts)))  # small samples are read more often
     inv, at, bucket, grams, goff = distinct_words(pa.array(texts, pa.large_string()))
     begin, n, doc = windows(at)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
