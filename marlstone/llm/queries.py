@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, near_dedup, order_minhash, packing, sharding, toxicity, trie_dedup, warc
+from . import language_id, line_dedup, near_dedup, order_minhash, packing, piece_sampling, sharding, toxicity, trie_dedup, warc
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -32,6 +32,10 @@ def op2_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("low_id")
 
 
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -67,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_trie_dedup": op2_trie_dedup,
+    "op3_piece_sampling": op3_piece_sampling,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
