@@ -106,14 +106,14 @@ def resolve_series(items: DataFrame, mapped: bool = True) -> DataFrame:
     In order: the held series is replaced by one with more periods or, if ``mapped``, a larger sum of magnitudes. An order-dependent
     fold, over the tables of one filing that name the concept.
     """
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, v: a + F.abs(F.coalesce(v, F.lit(0.0))))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "periods")))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, v: a + F.abs(F.coalesce(v["value"], F.lit(0.0))))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", F.map_entries("periods").alias("entries"))))
 
     def fold(held: Column, new: Column) -> Column:
-        better = F.size(new["periods"]) > F.size(held["periods"])
+        better = F.size(new["entries"]) > F.size(held["entries"])
         if mapped:
-            better = better | (total(new["periods"]) > total(held["periods"]))
+            better = better | (total(new["entries"]) > total(held["entries"]))
         return F.when(better, new).otherwise(held)
 
     grouped = items.groupBy("statement_type", "concept").agg(ordered.alias("o")).withColumn("o", F.explode(F.array("o")))
-    return grouped.select("statement_type", "concept", F.aggregate(F.slice("o", F.lit(2), F.size("o")), F.get("o", F.lit(0)), fold).alias("w")).select("statement_type", "concept", "w.ord", "w.periods")
+    return grouped.select("statement_type", "concept", F.aggregate(F.slice("o", F.lit(2), F.size("o")), F.get("o", F.lit(0)), fold).alias("w")).select("statement_type", "concept", "w.ord", F.map_from_entries("w.entries").alias("periods"))
