@@ -48,14 +48,17 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000, few: int = 0) -> DataFrame:
     """Left join of ``big`` to ``small`` (unique in ``key``; ``size`` = rows of ``big`` that have the key).
 
     Keys that have at least total/share rows are at most ``share`` many, so those rows of ``small`` are broadcast whatever the
-    input's size; the rows of ``big`` they serve are scattered by a random-like key in the shuffled join of the rest.
+    input's size; the rows of ``big`` they serve are scattered by a random-like key in the shuffled join of the rest. A ``small`` of at
+    most ``few`` rows (counted) is broadcast as a whole; pass that only where its rows have a fixed width.
     """
     least = max(1000, total // share)
     out = [c for c in small.columns if c != key]
+    if few and small.limit(few + 1).count() <= few:
+        return big.join(F.broadcast(small), key, "left").select(*big.columns, *out)
     hot = small.where(F.col(size) >= least).select(F.col(key).alias("_hk"), F.struct(*out).alias("_hot"))
     tagged = big.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
     scatter = F.concat(F.lit("~"), F.xxhash64(*[c for c in big.columns]).cast("string"))

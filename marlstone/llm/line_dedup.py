@@ -20,6 +20,7 @@ from ._shared import join_hot, stash
 
 WINDOW, DIVISOR, MIN_LINES = 2, 4, 2
 _LAST = (1 << 63) - 1
+FEW = 200_000  # repeated keys, of about 60 bytes, that are broadcast; more are joined by a shuffle
 
 
 def line_hash(line: Column) -> Column:
@@ -59,7 +60,7 @@ def removals(docs: DataFrame) -> DataFrame:
     counts = keyed.select("key", F.struct("_d", "_t", "start").alias("at")).groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     repeated = stash(counts.where("n > 1"), "op1-repeated")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = join_hot(keyed, repeated, "key", "n", total).where("first IS NOT NULL")
+    found = join_hot(keyed, repeated, "key", "n", total, few=FEW).where("first IS NOT NULL")
     found = stash(found.withColumn("is_first", (F.col("first._d") == F.col("_d")) & (F.col("first._t") == F.col("_t")) & (F.col("first.start") == F.col("start"))).drop("first"), "op1-found")
     kept = found.where("is_first").dropDuplicates(["key"]).select("key", "n", F.col("chunk").alias("kept_chunk"))
     others = found.where("NOT is_first").drop("n")
