@@ -126,16 +126,13 @@ _LOWER[65:91] += 32
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         for k, b in enumerate((_B, _BI)):
-            p = np.full(max(n, 1 << 22), b, np.uint64)
+            p = np.full(max(n, 1 << 20), b, np.uint64)
             p[0] = 1
             _POW[k] = np.cumprod(p)
     return _POW[0], _POW[1]
 
 
-def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a batch, A-Z lower-cased: starts, ends, 64-bit hashes, and the n+1 word offsets of the texts.
-
-    ``apart`` tells which of the 256 bytes stand between words: ASCII white space by default."""
+def _words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
@@ -158,6 +155,25 @@ def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple
     return starts, ends, h, np.searchsorted(starts, off)
 
 
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch, A-Z lower-cased: starts, ends, 64-bit hashes, and the n+1 word offsets of the texts.
+
+    ``apart`` tells which of the 256 bytes stand between words: ASCII white space by default. Texts are worked on in blocks of about
+    ``most`` bytes, so that the work arrays stay small whatever the batch.
+    """
+    cuts = [0, *(np.flatnonzero(np.diff(off[:-1] // most)) + 1).tolist(), len(off) - 1] if len(off) > 1 else [0, 0]
+    parts, count = [], 0
+    at = [np.zeros(1, np.int64)]
+    for a, b in zip(cuts, cuts[1:]):
+        base = off[a]
+        s, e, h, w = _words(buf[base : off[b]], off[a : b + 1] - base, apart)
+        parts.append((s + base, e + base, h))
+        at.append(w[1:] + count)
+        count += len(s)
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts))
+    return starts, ends, h, np.concatenate(at)
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k word hashes; fewer words give one hash of the whole sequence, none give none."""
     if not len(h):
