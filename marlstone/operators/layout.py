@@ -53,7 +53,7 @@ def anchored_blocks(words: DataFrame, line: float = 5, gap: float = 20) -> DataF
             out.append(int(block))
         return page.assign(block=out)
 
-    return words.groupBy(*PAGE).applyInPandas(fold, words.schema.add("block", "int"))
+    return words.groupBy(*PAGE).applyInPandas(fold, words.schema.add("block", "integer"))
 
 
 def outside(words: DataFrame, areas: DataFrame) -> DataFrame:

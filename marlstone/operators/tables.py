@@ -117,10 +117,10 @@ def precision_recall(extracted: DataFrame, truth: DataFrame) -> DataFrame:
     key = [KEY, "row_idx", "col_idx"]
     a = extracted.select(*key, strip(F.col("value")).alias("a"))
     b = truth.select(*key, strip(F.col("value")).alias("b"))
-    j = a.join(b, key, "full_outer").groupBy(KEY).agg(F.count("a").alias("extracted"), F.count("b").alias("true"), F.count_if(F.col("a") == F.col("b")).alias("hits"))
-    return j.withColumn("precision", F.try_divide("hits", "extracted")).withColumn("recall", F.try_divide("hits", "true"))
+    j = a.join(b, key, "full_outer").groupBy(KEY).agg(F.count("a").alias("extracted"), F.count("b").alias("truth"), F.count_if(F.col("a") == F.col("b")).alias("hits"))
+    return j.withColumn("precision", F.try_divide("hits", "extracted")).withColumn("recall", F.try_divide("hits", "truth"))
 
 
 def micro_macro(pr: DataFrame) -> DataFrame:
     s = lambda c: F.sum(c).cast("double")
-    return pr.agg(F.try_divide(s("hits"), s("extracted")).alias("micro_precision"), F.try_divide(s("hits"), s("true")).alias("micro_recall"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"))
+    return pr.agg(F.try_divide(s("hits"), s("extracted")).alias("micro_precision"), F.try_divide(s("hits"), s("truth")).alias("micro_recall"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"))
