@@ -13,6 +13,7 @@ repeated rows are scored like any other (null ids are not held out and not learn
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,8 +126,14 @@ def train(docs: DataFrame, sample: int = 2000, sample_chars: int = 20_000, folds
     n = rows.select("doc_id").count()
     share = min(1.0, 1.5 * sample / max(n, 1))
     pick = rows.withColumn("_h", F.xxhash64("doc_id")).where(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = pick.orderBy("_h", "text").limit(sample).select("text", "lang").collect()
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    got = pick.orderBy("_h", "text").limit(sample).select("_h", "text", "lang")
+    made = got.repartition(1).mapInArrow(_fits, "model binary").collect()  # one task of bounded size; the driver gets the model alone
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
+
+
+def _fits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((h, t, y) for b in it for h, t, y in zip(*(c.to_pylist() for c in b.columns)))
+    yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))]})
 
 
 def _predicts(shared):

@@ -16,6 +16,7 @@ at most 0.27); labels that are null are left out; a row whose id is in
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -290,8 +291,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = 1200, clean_sa
         return None
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int").dropDuplicates())  # at most toxic_sample + clean_sample ids
-    got = docs.where(ok).select("doc_id", "text").join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * (toxic_sample + clean_sample)).collect()
-    return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    got = docs.where(ok).select("doc_id", "text").join(few, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
+    made = got.repartition(1).mapInArrow(_fits, "net binary").collect()  # one task of bounded size; the driver gets the net alone
+    return pickle.loads(made[0]["net"]) if made else None
+
+
+def _fits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((h, t, y) for b in it for h, t, y in zip(*(c.to_pylist() for c in b.columns)))
+    yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(fit([r[1] for r in rows], [int(r[2] > 0) for r in rows]))]})
 
 
 def _scores(shared):

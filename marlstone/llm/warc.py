@@ -8,8 +8,9 @@ Payloads that several records share are written once: the record with the larges
 Files are named after the task's attempt and only those in the manifest, a table written by the successful attempts, are read, so
 lost executors and repeated attempts do no harm. They are opened through pyarrow.fs by the URI of the shared folder.
 
-Defined results: null html is an empty payload; a null url writes no target; rows with a null page_id revisit the record with an id
-that has their payload, and are responses if there is none; repeated rows are records of their own. An empty table gives an empty
+Defined results: null html is an empty payload; a null url writes no target; rows with a null page_id revisit the record with an id that
+has their payload, and are responses if there is none; repeated rows are records of their own, with the same record id if they
+repeat a page_id. An empty table gives an empty
 result. Extra columns are ignored.
 """
 
