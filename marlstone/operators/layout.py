@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import font_kind, title_score, word_count
 
@@ -53,7 +54,7 @@ def anchored_blocks(words: DataFrame, line: float = 5, gap: float = 20) -> DataF
             out.append(int(block))
         return page.assign(block=out)
 
-    return words.groupBy(*PAGE).applyInPandas(fold, words.schema.add("block", "integer"))
+    return words.groupBy(*PAGE).applyInPandas(fold, StructType([*words.schema.fields, StructField("block", IntegerType())]))
 
 
 def outside(words: DataFrame, areas: DataFrame) -> DataFrame:
