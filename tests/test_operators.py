@@ -176,3 +176,49 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == table.count()
     assert spark.table("w").count() == events.windowed(table).count()
+
+
+def test_sinks(spark, sf, tmp_path):
+    from marlstone.plans.documents import _blocks, _cells
+    from marlstone.plans.recon import _recon
+
+    b, r = _blocks(spark, sf), _recon(spark, sf)
+    assert write.recon_csv(r, str(tmp_path / "r")) == sorted(x[0] for x in r.select("status").distinct().collect())
+    assert spark.read.option("header", "true").csv(str(tmp_path / "r")).count() == r.count()
+    assert write.manifest(r, 3, 0.01, 0.005).first()["tables"] == 3
+    write.boxes_json(b, str(tmp_path / "x"))
+    assert spark.read.json(str(tmp_path / "x")).count() == b.count()
+    some = _cells(spark, sf).where("table_id < 20")
+    write.tables_csv(some, str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == some.select("table_id", "row_idx").distinct().count()
+    docs = b.select("doc_id").distinct().withColumn("processing_status", F.lit("success"))
+    write.registry(docs, str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g")).count() == docs.count()
+    assert write.plain(b).count() == docs.count()
+
+
+def test_scans(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.txt").write_bytes(b"x")
+    d = files.documents(spark, str(tmp_path)).drop("content").collect()
+    assert [r["doc_name"] for r in d] == ["a.pdf"] and d[0]["file_size_bytes"] == 4
+    for f in ("f1", "f2"):
+        (tmp_path / "roots" / f / "tables").mkdir(parents=True)
+        (tmp_path / "roots" / f / "tables" / "t.csv").write_text("a,b\n1,2\n")
+    got = files.filings(spark, str(tmp_path / "roots"))
+    assert got.count() == 8 and sorted(r[0] for r in got.select("doc_id").distinct().collect()) == ["f1", "f2"]
+    (tmp_path / "w.json").write_text('[{"doc_id": "d", "page_number": 1, "words": [{"text": "a", "x0": 1, "x1": 2, "top": 3, "bottom": 4}]}]')
+    assert files.words(spark, str(tmp_path / "w.json")).first()["x1"] == 2.0
+    one, two = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int")
+    assert sorted(map(tuple, files.first_source([one, two], "k").collect())) == [("a", 1), ("b", 3)]
+    (tmp_path / "m.json").write_text('{"methods": {"x": {"text_extraction": {"wer": 0.1}, "table_extraction": {"precision": 0.5, "recall": 0.4}}}}')
+    assert tuple(files.metrics_json(spark, str(tmp_path / "m.json")).first()) == ("x", 0.1, 0.5, 0.4)
+    assert files.settings(str(tmp_path / "none.yaml"), {"a": 1}) == {"a": 1}
+
+
+def test_stream_sink(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    table.limit(50).write.parquet(str(tmp_path / "in"))
+    q = events.to_table(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
