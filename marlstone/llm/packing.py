@@ -31,7 +31,7 @@ class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, through a cache of words. One object per worker and tokenizer file."""
 
     _by_path: dict[str, WordIds] = {}
-    KEEP = 600_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str) -> None:
         import os
