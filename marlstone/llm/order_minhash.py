@@ -146,8 +146,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row per document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(sorted(set(rows.select("doc_id").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))), np.float64)
+    parts = 12 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(sorted(set(rows.select("doc_id").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))), np.float64)
 
     @F.pandas_udf("long")
     def bucket(ids: pd.Series) -> pd.Series:
