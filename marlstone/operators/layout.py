@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..config.keywords import LAYOUT_TYPES
 from ..functions.text import font_kind, title_score, word_count
 
 PAGE = ["doc_id", "page_number"]
@@ -120,3 +121,26 @@ def table_box(index: Column, rows: Column, width: Column, height: Column) -> Col
 def page_layout(words: DataFrame, tables: DataFrame) -> DataFrame:
     """Rule-based layout of pages: words outside tables, grouped by gaps, titles marked."""
     return titles(gap_blocks(outside(complete_words(words), tables)))
+
+
+def block_type(label: Column) -> Column:
+    """Block type of a detector's label; null for labels that aren't extracted."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LAYOUT_TYPES.items() for x in pair]), label)
+
+
+def item_kind(label: Column) -> Column:
+    """table, formula or figure by the words in an item's label; else null."""
+    low = F.lower(label)
+    return F.when(low.rlike("table|grid"), "table").when(low.contains("formula"), "formula").when(low.rlike("figure|picture"), "figure")
+
+
+def object_counts(objects: DataFrame, kinds: list[str]) -> DataFrame:
+    """Per page the number of objects of each kind (0 if none). objects: doc_id, page_number, kind."""
+    return objects.groupBy(*PAGE).pivot("kind", kinds).count().fillna(0, kinds)
+
+
+def with_page_summary(files: DataFrame, summary: DataFrame) -> DataFrame:
+    """Page files with used_ocr and extraction_method of their page's first summary row; false and the plain method where there is none."""
+    first = summary.groupBy(*PAGE).agg(F.min_by(F.struct("used_ocr", "extraction_method"), "ord").alias("s"))
+    j = files.join(first, PAGE, "left")
+    return j.select(*files.columns, F.coalesce("s.used_ocr", F.lit(False)).alias("used_ocr"), F.coalesce("s.extraction_method", F.lit("pdfplumber")).alias("extraction_method"))

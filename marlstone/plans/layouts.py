@@ -264,3 +264,27 @@ def windows(spark, d):
 s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def sessions(spark, d):
     return E.sessions(table(spark, d, "events"))
+
+
+KIND = "CASE event_id % 6 WHEN 0 THEN 'Text' WHEN 1 THEN 'Title' WHEN 2 THEN 'Table' WHEN 3 THEN 'DataGrid' WHEN 4 THEN 'Figure' ELSE 'formula' END"
+
+
+@query("p20_p26_routing", f"""SELECT event_id, CASE k WHEN 'Text' THEN 'text' WHEN 'Title' THEN 'title' WHEN 'List' THEN 'list' WHEN 'Table' THEN 'table' WHEN 'Figure' THEN 'figure' END AS block_type,
+  CASE WHEN regexp_matches(lower(k), 'table|grid') THEN 'table' WHEN contains(lower(k), 'formula') THEN 'formula' WHEN regexp_matches(lower(k), 'figure|picture') THEN 'figure' END AS kind FROM (SELECT event_id, {KIND} AS k FROM events)""")
+def routing(spark, d):
+    e = table(spark, d, "events").select("event_id", F.expr(KIND).alias("k"))
+    return e.select("event_id", L.block_type(F.col("k")).alias("block_type"), L.item_kind(F.col("k")).alias("kind"))
+
+
+@query("a28_object_counts", f"""SELECT user_id AS page_number, count(*) FILTER (k = 'Text') AS "Text", count(*) FILTER (k = 'Figure') AS "Figure" FROM (SELECT user_id, {KIND} AS k FROM events) GROUP BY user_id HAVING count(*) FILTER (k IN ('Text', 'Figure')) >= 0""")
+def object_counts(spark, d):
+    e = table(spark, d, "events").select(F.lit("d").alias("doc_id"), F.col("user_id").alias("page_number"), F.expr(KIND).alias("kind"))
+    return L.object_counts(e, ["Text", "Figure"]).drop("doc_id")
+
+
+@query("j11_page_summary", """WITH s AS (SELECT user_id AS p, arg_min(event_id % 2 = 0, event_id) AS o, arg_min(event_type, event_id) AS m FROM events GROUP BY user_id)
+SELECT doc_id AS page_number, coalesce(o, false) AS used_ocr, coalesce(m, 'pdfplumber') AS extraction_method FROM documents LEFT JOIN s ON p = doc_id""")
+def page_summary(spark, d):
+    s = table(spark, d, "events").select(F.lit("d").alias("doc_id"), F.col("user_id").alias("page_number"), F.col("event_id").alias("ord"), (F.col("event_id") % 2 == 0).alias("used_ocr"), F.col("event_type").alias("extraction_method"))
+    f = table(spark, d, "documents").select(F.lit("d").alias("doc_id"), F.col("doc_id").alias("page_number"))
+    return L.with_page_summary(f, s).drop("doc_id")
