@@ -28,8 +28,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that an earlier document has go; every document stays."""
-    out = line_dedup.line_dedup(docs)
+    """Multi-line chunks, and passages of 50 or more words, that an earlier document has go; every document stays."""
+    out = line_dedup.passage_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -9,16 +9,22 @@ be compared, hot chunks are served by a broadcast of bounded size.
 Defined results: a null text stays null; an empty text is one empty line; one-line chunks are never removed; a text whose chunks all go
 becomes empty and its row stays. Null ids come last in the order of occurrences; rows with the same id and text are one document whose
 chunks occur once. Extra columns are carried. An empty table gives an empty result.
+
+The boundaries are sparse: many repeated passages of a few lines hold no whole chunk, and ``line_dedup`` leaves them. ``passage_dedup``
+adds a second family with a boundary at every line: all pairs of adjacent lines, and single lines of LEAST_WORDS or more words. A run of
+lines whose pairs all occurred before goes if it has LEAST_WORDS words; a repeated single line of as many goes too. Each line that is
+removed has an equal line that stays, at an earlier place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import join_hot, stash
 
 WINDOW, DIVISOR, MIN_LINES = 2, 4, 2
+LEAST_WORDS = 50
 _LAST = (1 << 63) - 1
 FEW = 200_000  # repeated keys, of about 60 bytes, that are broadcast; more are joined by a shuffle
 
@@ -37,8 +43,8 @@ def _fixed(df: DataFrame, name: str, col: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(col)))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk of MIN_LINES or more lines: _d, _t, start, end (lines, inclusive), chunk (text)."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """One row per text: _d, _t, lines, n (of lines), spans (start and end of each chunk of MIN_LINES or more lines, inclusive)."""
     lines = _keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
     lines = _fixed(lines, "lines", F.split("text", "\n", -1)).drop("text")
     hashed = _fixed(lines, "h", F.transform("lines", line_hash)).withColumn("n", F.size("lines"))
@@ -49,7 +55,12 @@ def chunks(docs: DataFrame) -> DataFrame:
     is_end = lambda i: (i == F.col("n") - 1) | (rolling(i) % DIVISOR == 0)
     ends = _fixed(hashed, "ends", F.filter(F.sequence(F.lit(0), F.col("n") - 1), is_end))
     spans = F.transform("ends", lambda e, j: F.struct(F.coalesce(F.get("ends", j - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
-    each = ends.withColumn("spans", F.filter(spans, lambda s: s.end - s.start + 1 >= MIN_LINES)).select("_d", "_t", "lines", F.explode("spans").alias("s"))
+    return ends.select("_d", "_t", "lines", "n", F.filter(spans, lambda s: s.end - s.start + 1 >= MIN_LINES).alias("spans"))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """One row per chunk of MIN_LINES or more lines: _d, _t, start, end (lines, inclusive), chunk (text)."""
+    each = _spans(docs).select("_d", "_t", "lines", F.explode("spans").alias("s"))
     body = F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), "\n")
     return each.select("_d", "_t", F.col("s.start").alias("start"), F.col("s.end").alias("end"), body.alias("chunk"))
 
@@ -77,3 +88,63 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lines = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, g: a + (g.end - g.start + 1).cast("long"))
     out = out.withColumn("removed_chunks", F.coalesce(F.size("_gone").cast("long") * F.when(F.col("_gone").isNotNull(), 1), F.lit(0)))
     return out.withColumn("removed_lines", F.coalesce(lines, F.lit(0))).select(*docs.columns, "removed_chunks", "removed_lines")
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """Chunks, pairs of adjacent lines and long single lines, without their text: _d, _t, kind, start, end, w0 and w1 (words of the first and last line), key.
+
+    Chunks of LEAST_WORDS or more words are left to the pairs: where one is repeated, so are all its pairs, and their run has the words.
+    """
+    each = _fixed(_spans(docs), "h", F.transform("lines", lambda x: F.xxhash64(x)))
+    each = _fixed(each, "w", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def window(kind: str, start: Column, end: Column) -> Column:
+        key = F.concat_ws(":", F.lit(kind), F.xxhash64(F.slice("h", start + 1, end - start + 1)))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get("w", start).alias("w0"), F.get("w", end).alias("w1"), key.alias("key"))
+
+    words = lambda s: F.aggregate(F.slice("w", s.start + 1, s.end - s.start + 1), F.lit(0), lambda a, x: a + x)
+    whole = F.transform(F.filter("spans", lambda s: words(s) < LEAST_WORDS), lambda s: window("chunk", s.start, s.end))
+    pairs = F.transform(F.filter(at, lambda i: i < F.col("n") - 1), lambda i: window("pair", i, i + 1))
+    single = F.transform(F.filter(at, lambda i: F.get("w", i) >= LEAST_WORDS), lambda i: window("line", i, i))
+    return each.select("_d", "_t", F.explode(F.concat(whole, pairs, single)).alias("s")).select("_d", "_t", "s.*")
+
+
+def _in_long_runs(rows: DataFrame, is_pair: Column) -> DataFrame:
+    """``rows`` with _run, the same for pairs that follow one another, but for the pairs of runs under LEAST_WORDS; dealt by _d, _t."""
+    each = rows.repartition("_d", "_t").dropDuplicates(["_d", "_t", "kind", "start", "end"]).withColumn("_p", is_pair)
+    at = each.withColumn("_run", F.col("start") - F.row_number().over(Window.partitionBy("_d", "_t", "_p").orderBy("start")))
+    run = Window.partitionBy("_d", "_t", "_p", "_run")
+    words = at.withColumn("_words", F.sum("w0").over(run) + F.max_by("w1", "start").over(run))
+    return words.where(~F.col("_p") | (F.col("_words") >= LEAST_WORDS)).drop("_p", "_words")
+
+
+def passage_removals(docs: DataFrame) -> DataFrame:
+    """Line spans to remove: _d, _t, start, end. Texts of repeated windows alone are moved, to be compared."""
+    each = windows(docs)
+    counts = each.select("key", F.struct("_d", "_t", "start").alias("at")).groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    repeated = stash(counts.where("n > 1"), "op1-repeated")
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_hot(each, repeated, "key", "n", total).where("first IS NOT NULL")
+    is_first = (F.col("first._d") == F.col("_d")) & (F.col("first._t") == F.col("_t")) & (F.col("first.start") == F.col("start"))
+    found = _in_long_runs(found.withColumn("is_first", is_first).drop("first"), (F.col("kind") == "pair") & ~F.col("is_first"))
+    spots = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("kind", "start", "end", "w0", "w1", "key", "n", "is_first")).alias("spots"))  # at most a text's own windows
+    texts = _fixed(_keyed(docs.select("doc_id", "text")).join(spots, ["_d", "_t"]), "lines", F.split("text", "\n", -1))
+    body = lambda s: F.array_join(F.slice("lines", s.start + 1, s.end - s.start + 1), "\n")
+    texts = texts.select("_d", "_t", F.explode(F.transform("spots", lambda s: F.struct(s.alias("s"), body(s).alias("chunk")))).alias("x")).select("_d", "_t", "x.s.*", "x.chunk")
+    texts = stash(texts, "op1-found")
+    kept = texts.where("is_first").dropDuplicates(["key"]).select("key", "n", F.col("chunk").alias("kept_chunk"))
+    same = join_hot(texts.where("NOT is_first").drop("n"), kept, "key", "n", total).where(F.col("chunk") == F.col("kept_chunk"))
+    same = _in_long_runs(same.select("_d", "_t", "kind", "start", "end", "w0", "w1"), F.col("kind") == "pair")
+    return same.select("_d", "_t", "start", "end")
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated chunks, runs of lines and long lines taken out of ``text``, and removed_lines (long)."""
+    gone = passage_removals(docs).groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
+    both = _keyed(docs).join(gone, ["_d", "_t"], "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_gone", lambda g: (g.start <= i) & (i <= g.end)))
+    out = both.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    lines = (F.size(F.split("text", "\n", -1)) - F.size("_left")).cast("long")
+    out = out.withColumn("removed_lines", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(lines))
+    return out.withColumn("text", F.coalesce(F.array_join("_left", "\n"), "text")).select(*docs.columns, "removed_lines")

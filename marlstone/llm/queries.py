@@ -28,6 +28,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup.passage_dedup(docs).select("doc_id", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("low_id")
 
@@ -70,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_passage_dedup": op1_passage_dedup,
     "op2_trie_dedup": op2_trie_dedup,
     "op3_piece_sampling": op3_piece_sampling,
     "op4_language_id": op4_language_id,

@@ -99,6 +99,59 @@ def test_line_dedup(spark, docs, odd, nothing):
     assert r[1]["removed_lines"] == 0 and r[2]["removed_lines"] >= 20 and r[2]["text"].startswith("other")
 
 
+def brute_passages(docs):
+    """Lines of runs of 50 or more words whose adjacent pairs all occur before, and repeated single lines of as many words: (doc, line)."""
+    seen, gone = set(), set()
+    for d, text in sorted(docs):
+        lines = text.split("\n")
+        words = [len(x.split()) for x in lines]
+        old = [False] * len(lines)
+        for i, line in enumerate(lines):
+            if words[i] >= 50 and (line,) in seen:
+                gone.add((d, i))
+            seen.add((line,))
+            if i + 1 < len(lines):
+                old[i] = (line, lines[i + 1]) in seen
+                seen.add((line, lines[i + 1]))
+        for is_old, run in itertools.groupby(range(len(lines)), lambda i: old[i]):
+            run = list(run)
+            if is_old and sum(words[run[0] : run[-1] + 2]) >= 50:
+                gone |= {(d, i) for i in range(run[0], run[-1] + 2)}
+    return gone
+
+
+def test_passage_dedup(spark, docs, odd, nothing):
+    """Passages of 1 to 5 lines inside different contexts, short ones and repeats within a text, against brute force; line_dedup misses many of these."""
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passages = [[line(int(np.ceil(words / k))) for _ in range(k)] for k in range(1, 6) for words in (20, 60) for _ in range(6)]
+    rows, placed = [], []
+    for d, p in enumerate(passages * 3):
+        before = [line(9) for _ in range(rng.integers(1, 6))]
+        rows.append((d, "\n".join(before + p + [line(9) for _ in range(rng.integers(1, 6))])))
+        placed.append((d, len(before), p))
+    same = line(40)
+    rows.append((len(rows), "\n".join([same] * 4)))
+    out = {r["doc_id"]: r for r in line_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want, old = brute_passages(rows), {(r["doc_id"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("removed_lines > 0").collect()}
+    assert all((d, at + j) in want for d, at, p in placed if d >= len(passages) and len(" ".join(p).split()) >= 50 for j in range(len(p)))
+    assert {d for d, _ in want} - old  # what sparse chunks leave
+    stays = collections.Counter()
+    for d, text in rows:
+        got, lines = out[d]["text"].split("\n"), text.split("\n")
+        least = [x for i, x in enumerate(lines) if (d, i) not in want]
+        short = d < len(placed) and len(" ".join(placed[d][2]).split()) < 50
+        assert (got == least) or (short and d in old), d  # a short passage goes only where it holds a whole chunk
+        assert out[d]["removed_lines"] == len(lines) - (len(got) if out[d]["text"] or "" in lines else 0)
+        stays.update(got)
+    assert all(stays[x] for _, text in rows for x in text.split("\n"))
+    whole = line_dedup.passage_dedup(docs)
+    assert whole.columns == [*docs.columns, "removed_lines"] and whole.count() == len(odd)
+    by = {(r["doc_id"], r["text"]) for r in whole.collect()}
+    assert (5, None) in by and (6, "") in by and (8, "one") in by
+    assert line_dedup.passage_dedup(nothing).count() == 0
+
+
 def test_communication_matrix():
     counts, sizes = [5, 0, 17, 3], sharding.shard_sizes(25, 4)
     m = sharding.communication_matrix(counts, sizes, 3)
