@@ -239,7 +239,7 @@ def coverage(spark, d):
 
 @query("f09_f10_fuzzy_scores")
 def fuzzy(spark, d):
-    pairs = _labels(spark, d).select("label").distinct().join(M.dictionary(_labels(spark, d)).where("ord < 12"), F.lit(True))  # 12 fixed rows
+    pairs = _labels(spark, d).select("label").distinct().join(M.dictionary(_labels(spark, d)), F.lit(True))
     return pairs.select("label", "pdf_key", F.round(fuzzy_score("label", "pdf_key"), 6).alias("score"), F.round(ratio(F.lower("label"), F.lower("pdf_key")), 6).alias("ratio"))
 
 

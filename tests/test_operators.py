@@ -1,13 +1,17 @@
 """Goldens and properties of the library's operators."""
 
+import difflib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.backends import base
+from marlstone.config.labels import LABELS, WEIGHTY
 from marlstone.functions import fuzzy, text, values
 from marlstone.operators import blocks, layout, mapping, methods, recon, tables
+from marlstone.plans import recon as plans
 from marlstone.sinks import write
 from marlstone.sources import facts, files
 from marlstone.streaming import events
@@ -18,6 +22,25 @@ def one(spark, expr, schema=None, *row):
     return df.select(expr.alias("x")).first()["x"]
 
 
+def test_fuzzy_scores_of_the_whole_dictionary(spark, tmp_path):
+    """Each distinct label against all entries, by difflib; among them labels that are entries and one that is like none."""
+    spark.range(1, 40).selectExpr("id AS p_partkey", "'x y z' AS p_name", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "int(id % 50) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    labels = {r["label"] for r in plans._labels(spark, str(tmp_path)).collect()}
+    got = {(r["label"], r["pdf_key"]): (r["score"], r["ratio"]) for r in plans.fuzzy(spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in labels for b, _ in LABELS}
+
+    def brute(a, b):
+        x, y = fuzzy.normal(a).lower(), fuzzy.normal(b).lower()
+        p, q = set(x.split()), set(y.split())
+        overlap = len(p & q) / max(len(p | q), 1) + 0.2 * len(p & q & set(WEIGHTY)) / len(WEIGHTY)
+        score = 0.6 * overlap + 0.4 * difflib.SequenceMatcher(None, x, y).ratio()
+        return 1.0 if x and x == y else score if p and q else 0.0
+
+    for (a, b), (score, ratio) in got.items():
+        assert score == pytest.approx(brute(a, b), abs=1e-6)
+        assert ratio == pytest.approx(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), abs=1e-6)
+
+
 def test_unicode_white_space(spark):
     assert one(spark, text.word_count(F.lit("a b  c\n"))) == 3
     assert one(spark, text.strip(F.lit("  a\t"))) == "a"
