@@ -88,3 +88,56 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.try_divide(F.levenshtein(reference, hypothesis), F.length(reference))
+
+
+def _same(a: str, b: str, i: int, j: int) -> int:
+    """Length of the common start of a[i:] and b[j:]."""
+    most, at, step, grow = min(len(a) - i, len(b) - j), 0, 16, True
+    while step:
+        if step <= most - at and a[i + at : i + at + step] == b[j + at : j + at + step]:
+            at += step
+            step = step * 2 if grow else step // 2
+        else:
+            grow, step = False, step // 2
+    return at
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of whole texts: furthest points by diagonal while the edits are few, else Myers' bit columns."""
+    start = _same(a, b, 0, 0)
+    a, b = a[start:], b[start:]
+    if not a or not b:
+        return len(a) + len(b)
+    n, m = len(a), len(b)
+    far = {0: 0}  # the texts differ at once
+    for d in range(1, int(min(n, m) ** 0.5) + 2):
+        new = {}
+        for k in range(max(-d, -m), min(d, n) + 1):
+            i = min(max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -1)), n, m + k)
+            new[k] = i + _same(a, b, i, i - k)
+        far = new
+        if far.get(n - m, -1) == n:
+            return d
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, found, up, down = (1 << n) - 1, 1 << (n - 1), n, (1 << n) - 1, 0
+    for c in b:
+        eq = at.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (~(h | up) & full), up & h
+        found += (plus & top > 0) - (minus & top > 0)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | (~(v | plus) & full), plus & v
+    return found
+
+
+@F.pandas_udf(DoubleType())
+def _cer(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(r, h) / len(r) if r and h is not None else None for r, h in zip(reference, hypothesis)], dtype="float64")
+
+
+def text_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """char_error_rate for whole texts, where the built-in distance takes the product of the lengths."""
+    return _cer(reference, hypothesis)

@@ -195,6 +195,15 @@ def cer(spark, d):
     return docs.select("doc_id", F.round(char_error_rate(F.substring("t", 1, 200), F.expr(ERRORS)), 6).alias("cer"))
 
 
+@query("a31_text_error_rate")
+def text_cer(spark, d):
+    """Whole texts, with errors all over; a31_char_error_rate compares starts of 200 characters alone, as its SQL does."""
+    from ..functions.fuzzy import text_error_rate
+
+    read = F.expr(r"concat(translate(replace(text, 'rn', 'm'), '\n', ' '), CASE WHEN doc_id % 3 = 0 THEN ' extra' ELSE '' END)")
+    return table(spark, d, "documents").select("doc_id", F.round(text_error_rate(F.col("text"), read), 6).alias("cer"))
+
+
 @query("a31_word_error_rate")
 def wer(spark, d):
     """Whole texts: a benchmark item against the line of a document that holds it would be exact; here each text against its lower-cased self."""

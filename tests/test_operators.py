@@ -12,6 +12,7 @@ from marlstone.config.labels import LABELS, WEIGHTY
 from marlstone.functions import fuzzy, text, values
 from marlstone.operators import blocks, layout, mapping, methods, recon, tables
 from marlstone.plans import recon as plans
+from marlstone.plans import registry, scalars  # noqa: F401  the module registers its queries
 from marlstone.sinks import write
 from marlstone.sources import facts, files
 from marlstone.streaming import events
@@ -41,6 +42,34 @@ def test_fuzzy_scores_of_the_whole_dictionary(spark, tmp_path):
         assert ratio == pytest.approx(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), abs=1e-6)
 
 
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+@given(st.text("abé🙂", max_size=60), st.text("abé🙂", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_edit_distance(a, b):
+    assert fuzzy.edit_distance(a, b) == brute_distance(a, b)
+    for x, y in ((a * 5, a * 4 + b), ("z" + a + "y" * 80, a + "y" * 79 + b)):
+        assert fuzzy.edit_distance(x, y) == brute_distance(x, y)
+
+
+def test_text_error_rate_of_whole_texts(spark, tmp_path):
+    late = "plain text " * 40 + "corner barn\nurn"
+    rows = [(0, late), (1, late), (2, "née 🙂 born\n" * 100), (3, ""), (4, None), (6, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["cer"] for r in registry.QUERIES["a31_text_error_rate"](spark, str(tmp_path)).collect()}
+    for k, t in rows:
+        read = t and t.replace("rn", "m").replace("\n", " ") + (" extra" if k % 3 == 0 else "")
+        assert got[k] == (pytest.approx(brute_distance(t, read) / len(t), abs=1e-6) if t else None)
+    assert got[1] > 0  # all its errors come after 200 characters
+
+
 def test_unicode_white_space(spark):
     assert one(spark, text.word_count(F.lit("a b  c\n"))) == 3
     assert one(spark, text.strip(F.lit("  a\t"))) == "a"
