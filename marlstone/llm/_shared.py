@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset and all is one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,23 +51,32 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000, few: int = 0) -> DataFrame:
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be no column yet (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000, few: int = 0, hot_if: Column | None = None) -> DataFrame:
     """Left join of ``big`` to ``small`` (unique in ``key``; ``size`` = rows of ``big`` that have the key).
 
     Keys that have at least total/share rows are at most ``share`` many, so those rows of ``small`` are broadcast whatever the
-    input's size; the rows of ``big`` they serve are scattered by a random-like key in the shuffled join of the rest. A ``small`` of at
-    most ``few`` rows (counted) is broadcast as a whole; pass that only where its rows have a fixed width.
+    input's size (``hot_if`` bounds their width where it isn't fixed); the rows of ``big`` they serve are scattered in the shuffled
+    join of the rest. A ``small`` of at most ``few`` rows (counted) is broadcast as a whole; pass that only where its rows have a
+    fixed width.
     """
     least = max(1000, total // share)
     out = [c for c in small.columns if c != key]
     if few and small.limit(few + 1).count() <= few:
         return big.join(F.broadcast(small), key, "left").select(*big.columns, *out)
-    hot = small.where(F.col(size) >= least).select(F.col(key).alias("_hk"), F.struct(*out).alias("_hot"))
+    is_hot = F.coalesce((F.col(size) >= least) & (F.lit(True) if hot_if is None else hot_if), F.lit(False))
+    hot = small.where(is_hot).select(F.col(key).alias("_hk"), F.struct(*out).alias("_hot"))
     tagged = big.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
-    scatter = F.concat(F.lit("~"), F.xxhash64(*[c for c in big.columns]).cast("string"))
-    tagged = tagged.withColumn("_jk", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(scatter))
-    rest = small.where(F.col(size) < least).select(F.col(key).alias("_jk"), F.struct(*out).alias("_rest"))
-    joined = tagged.join(rest, "_jk", "left").withColumn("_got", F.coalesce("_hot", "_rest"))
+    tagged = tagged.withColumn("_js", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*big.columns).bitwiseOR(F.lit(1))))
+    rest = small.where(~is_hot).select(F.col(key).alias("_jk"), F.lit(0).cast("long").alias("_j0"), F.struct(*out).alias("_rest"))
+    joined = tagged.join(rest, (F.col(key) == F.col("_jk")) & (F.col("_js") == F.col("_j0")), "left").withColumn("_got", F.coalesce("_hot", "_rest"))
     return joined.select(*big.columns, *[F.col(f"_got.{c}").alias(c) for c in out])
 
 
@@ -99,13 +111,41 @@ def slices(it: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iter
                 yield batch.slice(a, b - a)
 
 
+# ---- words as numbers, remembered by a worker ----
+
+
+class Known(dict):
+    """Word -> its number. A word that is asked for first is put on the list ``new`` and has the number -1 - place until it is learnt."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = -1 - len(self.new)
+        self.new.append(word)
+        return n
+
+
+def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about ``most`` characters, cut at blanks (which go), so that a long text's words are never all held as strings."""
+    a = 0
+    while (b := text.find(" ", a + most)) >= 0:
+        yield text[a:b]
+        a = b + 1
+    yield text[a:]
+
+
+def ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, ... n[0] numbers, then those of starts[1], and so on."""
+    at = np.cumsum(n) - n
+    return np.repeat(starts - at, n) + np.arange(int(n.sum()))
+
+
 # ---- hashing of words and shingles, vectorised over a batch ----
 
 _B = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 mod 8
 _BI = np.uint64(pow(int(_B), -1, 1 << 64))
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (public domain constants of splitmix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -123,19 +163,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        for k, b in enumerate((_B, _BI)):
-            p = np.full(max(n, 1 << 20), b, np.uint64)
-            p[0] = 1
-            _POW[k] = np.cumprod(p)
-    return _POW[0], _POW[1]
+_BLOCK = 1 << 20
+_POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_BLOCK, _B, np.uint64)]))
+_INV = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_BLOCK, _BI, np.uint64)]))
 
 
-def _words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    if not len(buf):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+def _words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block: starts, ends, and hashes before mixing (polynomials of the bytes, from each word's start)."""
     solid = ~apart[buf]
     first = np.empty(len(buf), bool)
     first[0] = True
@@ -148,30 +182,37 @@ def _words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tupl
     last[:-1] = ~solid[1:]
     last[inner[inner > 0] - 1] = True
     ends = np.flatnonzero(solid & last) + 1
-    pw, inv = _powers(len(buf) + 1)
     run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_RAND[_LOWER[buf]] * pw[: len(buf)], out=run[1:])
-    h = mix((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, h, np.searchsorted(starts, off)
+    np.cumsum(_RAND[_LOWER[buf]] * _POW[: len(buf)], out=run[1:])
+    return starts, ends, (run[ends] - run[starts]) * _INV[starts]
 
 
-def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE, most: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a batch, A-Z lower-cased: starts, ends, 64-bit hashes, and the n+1 word offsets of the texts.
 
-    ``apart`` tells which of the 256 bytes stand between words: ASCII white space by default. Texts are worked on in blocks of about
-    ``most`` bytes, so that the work arrays stay small whatever the batch.
+    ``apart`` tells which of the 256 bytes stand between words: ASCII white space by default. The bytes are worked on in blocks of
+    ``most`` (at most 2^20), also within a text: a word that goes on in the next block has its two hashes joined. So the work arrays
+    stay small however long a text is; what is returned has 24 bytes a word.
     """
-    cuts = [0, *(np.flatnonzero(np.diff(off[:-1] // most)) + 1).tolist(), len(off) - 1] if len(off) > 1 else [0, 0]
-    parts, count = [], 0
-    at = [np.zeros(1, np.int64)]
-    for a, b in zip(cuts, cuts[1:]):
-        base = off[a]
-        s, e, h, w = _words(buf[base : off[b]], off[a : b + 1] - base, apart)
-        parts.append((s + base, e + base, h))
-        at.append(w[1:] + count)
-        count += len(s)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    open_word = False  # the last word found may go on
+    for a in range(0, len(buf), most):
+        block = buf[a : a + most]
+        lo, hi = np.searchsorted(off, [a, a + len(block)], side="left")
+        cuts = np.concatenate([[0], off[lo:hi] - a, [len(block)]])
+        s, e, h = _words(block, cuts, apart)
+        s, e = s + a, e + a
+        if open_word and len(s) and s[0] == a and (lo == hi or off[lo] != a or not len(off)):
+            ps, pe, ph = parts[-1]
+            n = int(pe[-1] - ps[-1])
+            ph[-1:] += h[:1] * np.uint64(pow(int(_B), n, 1 << 64))
+            pe[-1] = e[0]
+            s, e, h = s[1:], e[1:], h[1:]
+        if len(s):
+            parts.append((s, e, h))
+        open_word = bool(parts[-1][1].size and parts[-1][1][-1] == a + len(block))
     starts, ends, h = (np.concatenate(x) for x in zip(*parts))
-    return starts, ends, h, np.concatenate(at)
+    return starts, ends, mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, off)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

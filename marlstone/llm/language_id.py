@@ -4,44 +4,55 @@ Features are hashed n-grams of 1 to 4 code points of the lower-cased text, weigh
 model is trained by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties, so most weights are exactly 0) on a
 bounded sample of labelled rows, then its logits are divided by a temperature fitted on rows of the sample that training didn't see.
 
-The sample: at most ``sample`` labelled rows of at most ``sample_chars`` characters, those with the smallest hash of the id. Only
-fitting uses the sample; every whole text is scored.
+Document frequencies (idf) are counted over the whole texts of all labelled rows outside the held-out fold. The sample that the weights
+are fitted on: at most ``sample`` such rows of at most ``sample_chars`` characters, those with the smallest hash of the id. Only fitting
+uses the sample; every whole text is scored.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled row all are ``und``; null ids and
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; without any labelled row all are ``und``; null ids and
 repeated rows are scored like any other (null ids are not held out and not learnt from). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import crc32_mod, slices
 
 BITS = 15
+_BLOCK = 1 << 18
 ORDERS = 4
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a whole text: ids and log(1 + tf)."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(1 << BITS, np.int64)
-    h = np.zeros(len(cp), np.uint32)
+    total = None
+    for a in range(0, max(1, len(cp)), _BLOCK):  # n-grams that begin in the block
+        part = np.bincount(_grams(cp[a : a + _BLOCK + ORDERS - 1], min(_BLOCK, len(cp) - a)), minlength=1 << BITS)
+        total = part if total is None else total + part
+    ids = np.flatnonzero(total)
+    return ids, np.log1p(total[ids])
+
+
+def _grams(cp: np.ndarray, begin: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at the first ``begin`` code points."""
+    out, h = [np.zeros(0, np.int64)], np.zeros(len(cp), np.uint32)
     for n in range(min(ORDERS, len(cp))):
         h = (h[: len(cp) - n] + cp[n:] + np.uint32(1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-        total += np.bincount((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS), minlength=1 << BITS)
-    ids = np.flatnonzero(total)
-    return ids, np.log1p(total[ids])
+        out.append(((h[:begin] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)).astype(np.int64))
+    return np.concatenate(out)
 
 
 @dataclass
@@ -71,16 +82,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
-    """FTRL-proximal with elastic net, one step per text; one in five texts is kept for the temperature."""
+def fit(texts: list[str], langs: list[str], df: np.ndarray | None = None, n_docs: int = 0, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
+    """FTRL-proximal with elastic net, one step per text; one in five texts is kept for the temperature. ``df``: in how many of ``n_docs``
+    documents each feature occurs (that of the given texts if left out)."""
     classes = sorted(set(langs))
     if not classes:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), 1.0)
     feats = [counts(t) for t in texts]
-    df = np.zeros(1 << BITS)
-    for ids, _ in feats:
-        df[ids] += 1
-    idf = np.log((1 + len(feats)) / (1 + df)) + 1
+    if df is None:
+        df, n_docs = np.bincount(np.concatenate([ids for ids, _ in feats]), minlength=1 << BITS), len(feats)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
     c, y = len(classes), np.array([classes.index(x) for x in langs])
     z, n = np.zeros((1 << BITS, c)), np.zeros((1 << BITS, c))
     zb, nb = np.zeros(c), np.zeros(c)
@@ -121,19 +132,51 @@ def fit(texts: list[str], langs: list[str], epochs: int = 2, alpha: float = 0.5,
 
 def train(docs: DataFrame, sample: int = 2000, sample_chars: int = 20_000, folds: int = 5) -> Model:
     """Fits on a bounded sample of labelled rows outside the held-out fold."""
-    ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (crc32_mod("doc_id", folds) != 0)
+    ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("doc_id", folds) != 0)
     rows = docs.select("doc_id", "text", "lang").where(ok)
-    n = rows.select("doc_id").count()
-    share = min(1.0, 1.5 * sample / max(n, 1))
-    pick = rows.withColumn("_h", F.xxhash64("doc_id")).where(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    df, n_docs = document_frequencies(rows)
+    share = min(1.0, 1.5 * sample / max(n_docs, 1))  # of all; if too few of these are short enough, fewer are learnt from
+    pick = rows.where(F.length("text") <= sample_chars).withColumn("_h", F.xxhash64("doc_id")).where(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     got = pick.orderBy("_h", "text").limit(sample).select("_h", "text", "lang")
-    made = got.repartition(1).mapInArrow(_fits, "model binary").collect()  # one task of bounded size; the driver gets the model alone
+    made = got.repartition(1).mapInArrow(_fits(df, n_docs), "model binary").collect()  # one task of bounded size; the driver gets the model alone
     return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
-def _fits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((h, t, y) for b in it for h, t, y in zip(*(c.to_pylist() for c in b.columns)))
-    yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))]})
+def _fits(df: np.ndarray, n_docs: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, t, y) for b in it for h, t, y in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows], df, n_docs))]})
+
+    return run
+
+
+def document_frequencies(rows: DataFrame, groups: int = 256) -> tuple[np.ndarray, int]:
+    """In how many of the rows' texts each feature occurs, and the number of rows. Each task adds up one array of fixed size, the arrays
+    are added in ``groups`` tasks, and theirs in one: the driver gets a single array."""
+    parts = rows.select("text").mapInArrow(_frequencies, "part int, n long, df binary")
+    for k in (groups, 1):
+        parts = parts.repartition(k, F.pmod("part", F.lit(k))).mapInArrow(_sums, "part int, n long, df binary")
+    got = parts.collect()
+    return (np.frombuffer(got[0]["df"], np.int64), got[0]["n"]) if got else (np.zeros(1 << BITS, np.int64), 0)
+
+
+def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, n = np.zeros(1 << BITS, np.int64), 0
+    for part in slices(it, "text"):
+        for t in part.column("text"):
+            df[counts(t.as_py())[0]] += 1
+            n += 1
+    if n:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": [n], "df": pa.array([df.tobytes()], pa.binary())})
+
+
+def _sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, n, part = np.zeros(1 << BITS, np.int64), 0, None
+    for batch in it:
+        for p, m, x in zip(*(c.to_pylist() for c in batch.columns)):
+            df, n, part = df + np.frombuffer(x, np.int64), n + m, p if part is None else min(p, part)
+    if n:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n], "df": pa.array([df.tobytes()], pa.binary())})
 
 
 def _predicts(shared):
@@ -147,7 +190,8 @@ def _predicts(shared):
 
 
 def predict(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row. The model is broadcast: 2^15 features x classes."""
+    """doc_id, held_out, lang_pred, score for every row. The model is broadcast: 2^15 features x classes; the classes are those of the
+    sample, so at most ``sample`` many."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(crc32_mod("doc_id", folds) == 0, F.lit(False))
     return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(_predicts(shared), _OUT)

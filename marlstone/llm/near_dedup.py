@@ -3,7 +3,8 @@
 Per document: the set of word shingles (64-bit hashes), HASHES MinHash samples in BANDS bands, and an odd sketch, the samples folded
 into a bitmap of parities, so that the population count of two sketches' XOR estimates how many samples differ.
 
-1. Documents with equal sets are one class (grouped by a 128-bit digest, pre-aggregated); one class is one node from here on.
+1. Documents with equal sets are one class (grouped by a 128-bit digest, pre-aggregated); one class is one node from here on, with a
+   number of its own.
 2. Nodes that share a band bucket are compared by sketch inside the bucket's task, which emits at most one edge per member: a seed
    takes all members that may be similar, then these are seeds for what is left. That is the exact closure of "may be similar"
    without emitting pairs. Buckets over CELL members are dealt as a grid of cells, so no task gets an unbounded one.
@@ -13,10 +14,12 @@ into a bitmap of parities, so that the population count of two sketches' XOR est
 4. Components of the confirmed links.
 
 With 32 bands of 4 rows a pair at similarity 0.8 misses all buckets with probability 5e-8; the sketch lets pass what it estimates at
-about 0.55 or more (over five deviations below 0.8). No document, bucket or cluster is capped.
+about 0.55 or more (over five deviations below 0.8). No document, bucket or cluster is capped. Joins to what many rows share (a
+bucket's size, a cluster's grid, a component's name, a class) broadcast the hot ones and scatter their rows.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is its own component; fewer words than a
-shingle give one shingle. Repeated rows have equal sets and share a component. Rows with a null id belong to their component; if no
+shingle give one shingle. Repeated rows have equal sets and share a component; rows with one id and different texts are documents of
+their own, linked by their texts alone. Rows with a null id belong to their component; if no
 member has an id, component_id is null; such a row is ``kept`` only in a component without ids. Extra columns are ignored.
 """
 
@@ -27,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import join_hot, mix, shingle_hashes, slices, stash, text_col, utf8, words
@@ -38,7 +41,7 @@ HASHES = BANDS * ROWS
 BITS = 512
 MOST = 96  # differing sketch bits that may still be similar: estimates of about 0.55
 CELL = 4096  # members of a bucket cell
-CELL_SHINGLES = 4_000_000  # shingles of a cluster cell
+CELL_SHINGLES, CELL_MEMBERS = 400_000, 1024  # shingles and members of a cluster cell
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -74,14 +77,14 @@ def estimate(differ: np.ndarray | int) -> np.ndarray:
     return 1 + BITS / (4 * HASHES) * np.log(np.maximum(1e-9, 1 - 2 * np.asarray(differ) / BITS))
 
 
-_SIG = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary"
+_SIG = "doc_id long, place long, n_shingles long, digest string, bands array<long>, sketch binary"
 
 
 def _signs(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(it, "text", 2 << 20):
-            ids, n, digest, bands, sketch = part.column("doc_id"), [], [], [], []
-            for doc_id, s in zip(ids.to_pylist(), sets_of(text_col(part, "text"), k)):
+            n, digest, bands, sketch = [], [], [], []
+            for s in sets_of(text_col(part, "text"), k):
                 n.append(len(s))
                 if len(s):
                     low = minhash(s)
@@ -89,10 +92,10 @@ def _signs(k: int):
                     bands.append(band_keys(low).view(np.int64))
                     sketch.append(odd_sketch(low).tobytes())
                 else:
-                    digest.append(f"none {doc_id}")
+                    digest.append(None)
                     bands.append(None)
                     sketch.append(None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "place", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -183,7 +186,12 @@ def _bucket_edges(percent: int):
 
 def _member_sets(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)  # nodes of this task: rows with the same id and text come to one task
         for part in slices(it, "text", 2 << 20):
+            fresh = part.column("node").to_numpy()
+            _, first = np.unique(fresh, return_index=True)
+            part = part.take(pa.array(np.sort(first[~np.isin(fresh[first], seen)])))
+            seen = np.concatenate([seen, part.column("node").to_numpy()])
             sets = sets_of(text_col(part, "text"), k)
             right = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == d for s, d in zip(sets, part.column("digest").to_pylist())]
             names = ["cluster", "grid", "node", "n_shingles", "sketch"]
@@ -241,47 +249,42 @@ def _cells(df: DataFrame, grid: str, salt: str) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: percent * union <= 100 * intersection."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    place = F.xxhash64("text").alias("place")  # with the id, it finds a class's text again
+    rows = docs.select(F.col("doc_id").cast("long"), place, "text")
     signs = stash(rows.mapInArrow(_signs(k), _SIG), "op6-signs")
     full = signs.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = stash(classes.withColumn("node", F.coalesce("low_id", -F.abs(F.xxhash64("digest") % (1 << 62)) - 1)), "op6-classes")
-
-    keys = classes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    found = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("at")
+    classes = full.groupBy("digest").agg(found, F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "op6-classes")  # written: from here on the numbers are facts
+
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = join_hot(keys, sizes, "key", "n", total).where("n IS NOT NULL")
     keys = _cells(keys.withColumn("grid", F.ceil(F.col("n") / CELL).cast("int")), "grid", "node").select("key", "ci", "cj", "node")
     sketches = classes.select("node", "n_shingles", "sketch")
     cells = keys.join(sketches, "node").select("key", "ci", "cj", "node", "n_shingles", "sketch")
     maybe = cells.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj").mapInArrow(_bucket_edges(percent), "a long, b long")
     clusters = components(maybe)
 
-    members = clusters.join(classes.select("node", "n_shingles", "sketch", "digest", "low_id"), "node").withColumnRenamed("root", "cluster")
-    weight = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CELL_SHINGLES).cast("int").alias("grid"))
-    members = stash(members.join(weight, "cluster"), "op6-members")
-    found = rows.join(members.where("low_id IS NOT NULL"), F.col("doc_id") == F.col("low_id"))
-    nameless = rows.where("doc_id IS NULL").withColumn("_set", F.lit(1))
-    if not members.where("low_id IS NULL").isEmpty():  # classes without any id: their texts are found by digest
-        tagged = nameless.mapInArrow(_digests(k), "text string, _d string").dropDuplicates(["_d"])
-        found = found.select("text", *members.columns).unionByName(tagged.join(members, F.col("_d") == F.col("digest")).select("text", *members.columns))
+    members = clusters.join(classes.select("node", "n_shingles", "sketch", "digest", "at"), "node").withColumnRenamed("root", "cluster")
+    work = F.greatest(F.ceil(F.sum("n_shingles") / CELL_SHINGLES), F.ceil(F.count("*") / CELL_MEMBERS)).cast("int")
+    weight = stash(members.groupBy("cluster").agg(work.alias("grid"), F.count("*").alias("n")), "op6-weights")
+    total = weight.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = join_hot(members, weight, "cluster", "n", total).drop("n").withColumn("_i", F.col("at.doc_id")).withColumn("_p", F.col("at.place")).drop("at")
+    found = rows.join(members, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("place") == F.col("_p")))
     found = found.select("cluster", "grid", "node", "n_shingles", "sketch", "digest", "text")
     sets = found.mapInArrow(_member_sets(k), "cluster long, grid int, node long, n_shingles long, sketch binary, shingles binary")
     cells = _cells(sets, "grid", "node").select("cluster", "ci", "cj", "node", "n_shingles", "sketch", "shingles")
     links = cells.repartition("cluster", "ci", "cj").sortWithinPartitions("cluster", "ci", "cj").mapInArrow(_cluster_edges(percent), "a long, b long")
     roots = components(links)
 
-    # nodes without an id are negative, so the smallest id of a component is taken over its classes
-    known = classes.select("node", "digest", "n_docs", "low_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = known.where("root < 0").groupBy("root").agg(F.min("low_id").alias("low"))
-    known = known.join(lows, "root", "left").select("digest", "n_docs", F.when(F.col("root") < 0, F.col("low")).otherwise(F.col("root")).alias("component_id"))
-    total = full.count()
-    out = join_hot(signs.select("doc_id", "n_shingles", "digest"), known, "digest", "n_docs", total)
+    # a component is named at the very end, by the smallest id of its classes
+    known = classes.select("node", "digest", "n_docs", F.col("at.doc_id").alias("low_id")).join(roots, "node", "left")
+    lows = stash(known.where("root IS NOT NULL").groupBy("root").agg(F.min("low_id").alias("low"), F.count("*").alias("m")), "op6-lows")
+    total = lows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    known = join_hot(known, lows, "root", "m", total)
+    known = known.select("digest", "n_docs", F.when(F.col("root").isNull(), F.col("low_id")).otherwise(F.col("low")).alias("component_id"))
+    out = join_hot(signs.select("doc_id", "n_shingles", "digest"), known, "digest", "n_docs", full.count())
     lonely = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", lonely.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _digests(k: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(it, "text", 2 << 20):
-            d = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets_of(text_col(part, "text"), k)]
-            yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(d)], ["text", "_d"])
-
-    return run

@@ -34,7 +34,8 @@ def _odd(m: int) -> np.ndarray:
 
 
 def numbered_kmers(text: str, k: int = K) -> np.ndarray:
-    """Hash of each k-mer together with its occurrence number among equal ones."""
+    """Hash of each k-mer together with its occurrence number among equal ones: those with the same 44 leading hash bits, in texts of any
+    length."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(cp):
         return np.zeros(0, np.uint64)
@@ -48,9 +49,9 @@ def numbered_kmers(text: str, k: int = K) -> np.ndarray:
     if n < 1 << 20:  # the position in the low bits makes the sort stable
         key = np.sort((h & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(n, dtype=np.uint64))
         order, run = (key & np.uint64(0xFFFFF)).astype(np.int64), key >> np.uint64(20)
-    else:
-        order = np.argsort(h, kind="stable")
-        run = h[order]
+    else:  # the same order where the position needs more bits
+        order = np.argsort(h >> np.uint64(20), kind="stable")
+        run = h[order] >> np.uint64(20)
     same = np.flatnonzero(run[1:] == run[:-1]) + 1
     if len(same):
         number = np.zeros(n, np.uint64)

@@ -7,7 +7,10 @@ document labels only: the log-sum-exp over a document's windows makes the label
 is written out; the optimiser is Adam.
 
 The sample: at most ``toxic_sample`` toxic and ``clean_sample`` clean labelled rows of at most ``sample_chars`` characters, those with
-the smallest hash of the id; rows of the held-out fold never. Only fitting uses the sample; every window of every text is scored.
+the smallest hash of the id; rows of the held-out fold never. Small samples are read more often: 10 000 texts over the sample's size
+is the number of epochs, at least two and at most ``most_epochs``. Only fitting uses the sample; every window of every text is scored.
+A word of over LONGEST bytes (script without blanks, endless strings) counts as overlapping pieces of that length, so that a window
+spans a bounded stretch of any text.
 
 Defined results: null, empty and blank texts have no window and get the score of a window without words (the bias alone,
 at most 0.27); labels that are null are left out; a row whose id is in
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from ._shared import crc32_mod, mix, slices, text_col, utf8, words
 
 WINDOW, STRIDE = 32, 16
+LONGEST = 48  # bytes of a word
 WORD_BITS, CHAR_BITS, DIM, HID = 14, 15, 12, 8
 THRESHOLD = 0.3
 _OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -41,7 +45,7 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Word number (among the batch's distinct words) of each word, word offsets of the texts, then for each distinct word its bucket
     and, end to end with offsets, the buckets of its character n-grams."""
     buf, off = utf8(texts)
-    starts, ends, h, at = words(buf, off, APART)
+    starts, ends, h, at = _pieces(buf, *words(buf, off, APART))
     hs, first, inv = np.unique(h, return_index=True, return_inverse=True)
     s, n = starts[first], (ends - starts)[first]
     low = buf.copy()
@@ -68,6 +72,25 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return inv.astype(np.int64), at, (hs >> np.uint64(64 - WORD_BITS)).astype(np.int64), grams, goff
 
 
+def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words as they are, those of over LONGEST bytes as pieces of that length that overlap by half."""
+    n = ends - starts
+    if n.max(initial=0) <= LONGEST:
+        return starts, ends, h, at
+    step = LONGEST // 2
+    k = np.where(n > LONGEST, 1 + -(-(n - LONGEST) // step), 1)
+    word = np.repeat(np.arange(len(n)), k)
+    s = starts[word] + (np.arange(len(word)) - np.repeat(np.cumsum(k) - k, k)) * step
+    e, own = np.minimum(s + LONGEST, ends[word]), h[word]
+    cut = np.flatnonzero(n[word] > LONGEST)
+    x = np.zeros(len(cut), np.uint64)
+    for b in range(LONGEST):
+        live = s[cut] + b < e[cut]
+        x[live] = x[live] * np.uint64(0x9E3779B97F4A7C13) + buf[s[cut[live]] + b] + np.uint64(1)
+    own[cut] = mix(x)
+    return s, e, own, np.concatenate([[0], np.cumsum(k)])[at]
+
+
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, words and text of each window; windows overlap by half, the last one ends with the text. No words: no window."""
     n = np.diff(at)
@@ -185,13 +208,13 @@ def window_ids(inv: np.ndarray, begin: np.ndarray, n: np.ndarray, pad: int) -> n
     return np.where(step < n, inv[np.minimum(begin + step, len(inv) - 1)], pad)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int | None = None, batch: int = 16, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, most_epochs: int = 12, batch: int = 16, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
     """Adam on the log loss of a document's log-sum-exp; of a longer document's windows ``per_doc`` are used in
     an epoch: drawn at random in the first, later half at random and half those that score highest so far."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
-    epochs = epochs or max(2, min(5, 10_000 // len(texts)))  # small samples are read more often
+    epochs = epochs or max(2, min(most_epochs, 10_000 // len(texts)))  # small samples are read more often
     inv, at, bucket, grams, goff = distinct_words(pa.array(texts, pa.large_string()))
     begin, n, doc = windows(at)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -286,12 +309,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = 1200, clean_sa
     ok = (F.length("text") <= sample_chars) & (crc32_mod("doc_id", folds) != 2)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.where(ok).select("doc_id").join(marks, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
-    chosen = [r for y, most in ((0, clean_sample), (1, toxic_sample)) for r in ids.where((F.col("toxic") > 0).cast("int") == y).orderBy("_h", "doc_id").limit(most).collect()]
+    clean, toxic = (ids.where(some).orderBy("_h", "doc_id").limit(most) for some, most in ((F.col("toxic") <= 0, clean_sample), (F.col("toxic") > 0, toxic_sample)))
+    chosen = clean.unionByName(toxic).collect()  # the join below both is shared
     if not chosen:
         return None
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int").dropDuplicates())  # at most toxic_sample + clean_sample ids
     got = docs.where(ok).select("doc_id", "text").join(few, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
+    got = got.orderBy("h", "text").limit(len(chosen))  # where an id is repeated, its rows would be more than were chosen
     made = got.repartition(1).mapInArrow(_fits, "net binary").collect()  # one task of bounded size; the driver gets the net alone
     return pickle.loads(made[0]["net"]) if made else None
 

@@ -3,11 +3,12 @@
 Each map task first folds equal texts in a trie of its own (bounded by bytes, flushed when full). What is left, one row per
 distinct text and flush, goes to the owner of its (normalised length, content hash). Owners insert the full byte strings into a
 compressed radix trie whose terminal nodes keep the best row, the smallest id and the count; beyond a byte limit the largest
-subtree is spilled to the executor's temporary folder and finished later. Only bytes that are equal from end to end share a
-terminal, so equality never rests on a hash.
+subtree is spilled to Spark's own local folder (as shuffles spill; the task makes it anew if its executor is lost) and finished later.
+Only bytes that are equal from end to end share a terminal: the tries decide what the groups are, which row stays and how many there
+are. The rows of ``exact_dedup`` are then told their group by the SHA-256 of the normalised text, which the result carries anyway.
 
 Defined results: a null text counts as empty; empty texts form one group; rows with a null id count in ``group_size`` but are kept
-only if no row with an id has as many code points; repeated rows with the same id and text are one group and are all ``kept`` if
+only if no row with an id has as many code points, and then all of the group's rows without an id are ``kept``; repeated rows with the same id and text are one group and are all ``kept`` if
 their id is. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -37,6 +38,10 @@ def merge(a: Payload, b: Payload) -> Payload:
     return best[0], best[1], min(ids, default=0), a[3] + b[3], best[4]
 
 
+#: Bytes that a node takes besides its label, about: a list, a dict, a bytes object, a payload of five numbers.
+NODE = 450
+
+
 class Patricia:
     """Compressed radix trie over bytes. A node is [label, children by first byte, payload or None]."""
 
@@ -44,17 +49,16 @@ class Patricia:
         self.root: list = [b"", {}, None]
 
     def insert(self, key: bytes, payload: Payload) -> int:
-        """Returns the bytes by which the trie grew; 0 if the key was there."""
-        node, at = self.root, 0
+        """Returns the bytes by which the trie grew, about."""
+        node, at, grown = self.root, 0, 0
         while True:
             if at == len(key):
-                grown = 0 if node[2] else 1
                 node[2] = merge(node[2], payload) if node[2] else payload
                 return grown
             child = node[1].get(key[at])
             if child is None:
                 node[1][key[at]] = [key[at:], {}, payload]
-                return len(key) - at
+                return grown + NODE + len(key) - at
             label = child[0]
             if key.startswith(label, at):
                 node, at = child, at + len(label)
@@ -63,7 +67,7 @@ class Patricia:
             fork = [label[:n], {label[n]: child}, None]
             child[0] = label[n:]
             node[1][key[at]] = fork
-            node, at = fork, at + n
+            node, at, grown = fork, at + n, NODE
 
     @staticmethod
     def _common(label: bytes, key: bytes, at: int) -> int:
@@ -103,8 +107,8 @@ class Owner:
             self._append(sub, key, payload)
             return
         grown = self.tries.setdefault(sub, Patricia()).insert(key, payload)
-        self.size[sub] = self.size.get(sub, 0) + grown + 100 * bool(grown)
-        self.held += grown + 100 * bool(grown)
+        self.size[sub] = self.size.get(sub, 0) + grown
+        self.held += grown
         while self.held > self.limit and len(self.tries) + len(self.spilled) > 0:
             large = max((s for s in self.tries if s), key=lambda s: self.size[s], default=None)
             if large is None:
@@ -112,7 +116,7 @@ class Owner:
             self._spill(large)
 
     def _spill(self, sub: bytes) -> None:
-        self.spilled[sub] = (tempfile.TemporaryFile(),)
+        self.spilled[sub] = (tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None),)
         self.held -= self.size.pop(sub)
         for key, payload in self.tries.pop(sub).items():
             self._append(sub, key, payload)

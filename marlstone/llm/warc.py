@@ -3,7 +3,8 @@
 Pages are cut into (record, chunk number) rows of at most ``chunk`` bytes before they reach Python; each task streams its rows into
 one .warc.gz file (one gzip member per record, digest carried from chunk to chunk and checked against the header), and the reader
 streams a file back into chunk rows that carry the digest so far. No record is ever held whole by the writer or the reader.
-Payloads that several records share are written once: the record with the largest page_id is the response, the others revisit it.
+Payloads that several records share (equal in length and SHA-256; the SHA-1 is printed only) are written once: the record with the
+largest page_id is the response, the others revisit it.
 
 Files are named after the task's attempt and only those in the manifest, a table written by the successful attempts, are read, so
 lost executors and repeated attempts do no harm. They are opened through pyarrow.fs by the URI of the shared folder.
@@ -200,11 +201,11 @@ def write_warc(pages: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Writes the archives into a new part of the shared folder; returns the manifest: file, records, bytes."""
     spark = pages.sparkSession
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"))
-    groups = rows.groupBy("sha1").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"), F.concat_ws(":", F.octet_length(body), F.sha2(body, 256)).alias("key"))
+    groups = rows.groupBy("key").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     groups = stash(groups, "op8-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = join_hot(rows, groups.where("n > 1"), "sha1", "n", total)
+    known = join_hot(rows, groups.where("n > 1"), "key", "n", total)
     known = known.withColumn("response_id", F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
     pieces = F.when(F.col("response_id").isNull(), F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk))).otherwise(1)
     cut = known.withColumn("chunk", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
