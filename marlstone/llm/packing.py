@@ -6,8 +6,9 @@ amount of free space finds the fullest bin that still fits in a few word operati
 fullest closes. What is open at a task's end (bounded by bins * tasks) is packed once more by the same packer, largest pieces
 first, over few tasks.
 
-Ids are cached per word in the worker (bounded), as byte-level BPE never merges across a blank before a word; each distinct word is
-encoded once by the tokenizers library, texts with other runs of white space are encoded whole.
+Ids are those of the tokenizers library as it comes, so a special token's string in a text is that token. They are remembered per word
+in the worker (bounded), as byte-level BPE never merges across a blank before a word; each distinct word is encoded once, texts with
+other runs of white space or a special token's string are encoded whole.
 
 Defined results: a null or empty text is the end id alone; repeated rows and null ids are packed like any other (pieces of such rows
 can't be told apart by doc_id); an empty table gives an empty result. Extra columns are ignored.
@@ -15,6 +16,7 @@ can't be told apart by doc_id); an empty table gives an empty result. Extra colu
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, stash, text_col
+from ._shared import Known, ranges, segments, slices, stash, text_col
 
 
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit bytes, through a cache of words. One object per worker and tokenizer file."""
+    """Token ids of texts, as little-endian 32-bit bytes, through a memory of words. One object per worker and tokenizer file.
+
+    A known word's ids lie in ``flat`` from ``at`` on, ``size`` of them; -1 marks a word that makes its text irregular.
+    """
 
     _by_path: dict[str, WordIds] = {}
     KEEP = 1_000_000
@@ -40,11 +45,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes | None] = {}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]  # found in a text before it is cut into words
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
+        self.known, self.count, self.used = Known(), 0, 0
+        self.at, self.size, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -53,56 +59,95 @@ class WordIds:
         return cls._by_path[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
-        """Ids of ' ' + word for each word. A word that is empty or begins or ends with white space makes its text irregular."""
-        got: dict[str, bytes | None] = {w: None for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        plain = [w for w in new if w not in got]
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(some) and at[0] == 0:
-                raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
-                got.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, at.tolist(), ends))
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Ids of ' ' + word for each word, put into the tables; returns the words' numbers."""
+        odd = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        some = [w for w, x in zip(words, odd) if not x]
+        ids, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if some:
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) == len(some) and first[0] == 0:
+                n = np.diff(first, append=len(ids))
             else:
-                got.update(zip(some, self._ids([" " + w for w in some])))
+                each = [e.ids for e in self.tok.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+                ids, n = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each])
+        size = np.full(len(words), -1, np.int64)
+        size[~np.array(odd)] = n
+        self.at = _room(self.at, self.count, self.used + np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0))
+        self.size = _room(self.size, self.count, size)
+        self.flat = _room(self.flat, self.used, ids)
+        numbers = np.arange(self.count, self.count + len(words))
+        self.known.update(zip(words, numbers.tolist()))
+        self.count, self.used = self.count + len(words), self.used + len(ids)
+        return numbers
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        got = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            learnt = np.concatenate([self._learn(new[a : a + 2000]) for a in range(0, len(new), 2000)])
+            got = np.where(got < 0, learnt[np.maximum(-1 - got, 0)], got)
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = list(set().union(*(s[1:] for s in split)).difference(self.cache))
-        learnt = self._learn(new)
-        table = self.cache
-        if len(self.cache) + len(learnt) <= self.KEEP:
-            self.cache.update(learnt)
-        else:
-            table = Both(self.cache, learnt)
-        heads = self._ids([s[0] for s in split])
-        out, odd = [], []
-        for k, (head, s) in enumerate(zip(heads, split)):
-            try:
-                out.append(head + b"".join(map(table.__getitem__, s[1:])))
-                if len(s) > 1 and (not s[0] or s[0][-1].isspace()):
-                    odd.append(k)
-            except TypeError:  # an irregular word
-                out.append(b"")
-                odd.append(k)
+        before, used = self.count, self.used
+        out: list[bytes] = [b""] * len(texts)
+        odd = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
+        skip = set(odd)
+        held: list[tuple[int, list[str]]] = []  # text and words; the first of a text's words has no blank before it
+        many, heads = 0, []
+        for k, t in enumerate(texts):
+            if k in skip:
+                continue
+            for j, part in enumerate(segments(t)):
+                w = part.split(" ")
+                if not j:
+                    heads.append((k, w[0]))
+                    if not w[0] or w[0][-1].isspace():
+                        if len(w) > 1 or len(part) < len(t):
+                            odd.append(k)
+                            break
+                    w = w[1:]
+                held.append((k, w))
+                many += len(w)
+                if many > 1 << 18:
+                    self._join(held, out, odd)
+                    held, many = [], 0
+        self._join(held, out, odd)
+        for (k, _), ids in zip(heads, self._ids([h for _, h in heads])):
+            out[k] = ids + out[k]
         for k, ids in zip(odd, self._ids([texts[k] for k in odd])):
             out[k] = ids
+        if self.count > self.KEEP:  # what this batch added goes; the words known before stay
+            for w in list(itertools.islice(reversed(self.known), self.count - before)):
+                del self.known[w]
+            self.count, self.used = before, used
         return out
 
-
-class Both(dict):
-    """A full cache and what this batch adds."""
-
-    def __init__(self, old: dict, new: dict) -> None:
-        super().__init__(new)
-        self.old = old
-
-    def __missing__(self, w: str) -> bytes | None:
-        return self.old[w]
+    def _join(self, held: list[tuple[int, list[str]]], out: list[bytes], odd: list[int]) -> None:
+        numbers = self._numbers(list(itertools.chain.from_iterable(w for _, w in held)))
+        size = self.size[numbers]
+        ends = np.cumsum([len(w) for _, w in held])
+        strange = np.flatnonzero(size < 0)
+        odd += {held[i][0] for i in np.searchsorted(ends, strange, side="right").tolist()}
+        size = np.maximum(size, 0)
+        ids = self.flat[ranges(self.at[numbers].astype(np.int64), size.astype(np.int64))].astype("<u4")
+        stops = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], ends]).astype(np.int64)]
+        for (k, _), a, b in zip(held, stops.tolist(), stops[1:].tolist()):
+            out[k] += ids[a:b].tobytes()
+
+
+def _room(old: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``old`` with ``more`` after the ``used`` entries; grows by doubling."""
+    if used + len(more) > len(old):
+        wide = np.zeros(max(used + len(more), 2 * len(old)), old.dtype)
+        wide[:used] = old[:used]
+        old = wide
+    old[used : used + len(more)] = more
+    return old
 
 
 class OpenBins:
