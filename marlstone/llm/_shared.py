@@ -59,23 +59,26 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000, few: int = 0, hot_if: Column | None = None) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 1000, few: int = 0, hot_if: Column | None = None, inner: bool = False) -> DataFrame:
     """Left join of ``big`` to ``small`` (unique in ``key``; ``size`` = rows of ``big`` that have the key).
 
     Keys that have at least total/share rows are at most ``share`` many, so those rows of ``small`` are broadcast whatever the
     input's size (``hot_if`` bounds their width where it isn't fixed); the rows of ``big`` they serve are scattered in the shuffled
-    join of the rest. A ``small`` of at most ``few`` rows (counted) is broadcast as a whole; pass that only where its rows have a
-    fixed width.
+    join of the rest. A ``small`` of at most ``few`` rows (counted) is broadcast as a whole; pass that only where its rows have a fixed width.
     """
     least = max(1000, total // share)
     out = [c for c in small.columns if c != key]
     if few and small.limit(few + 1).count() <= few:
-        return big.join(F.broadcast(small), key, "left").select(*big.columns, *out)
+        return big.join(F.broadcast(small), key, "inner" if inner else "left").select(*big.columns, *out)
     is_hot = F.coalesce((F.col(size) >= least) & (F.lit(True) if hot_if is None else hot_if), F.lit(False))
+    if inner:  # rows of hot keys stay where they are
+        few_hot, cold = F.broadcast(small.where(is_hot)), small.where(~is_hot)
+        rest = big.join(F.broadcast(small.where(is_hot).select(key)), key, "left_anti")
+        return big.join(few_hot, key).select(*big.columns, *out).unionByName(rest.join(cold, key).select(*big.columns, *out))
     hot = small.where(is_hot).select(F.col(key).alias("_hk"), F.struct(*out).alias("_hot"))
     tagged = big.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
     tagged = tagged.withColumn("_js", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*big.columns).bitwiseOR(F.lit(1))))
-    rest = small.where(~is_hot).select(F.col(key).alias("_jk"), F.lit(0).cast("long").alias("_j0"), F.struct(*out).alias("_rest"))
+    rest = small.where(~is_hot).select(F.col(key).alias("_jk"), F.pmod(F.hash(F.col(key)), F.lit(1)).cast("long").alias("_j0"), F.struct(*out).alias("_rest"))  # 0, but no literal, which Catalyst would take out of the join's keys
     joined = tagged.join(rest, (F.col(key) == F.col("_jk")) & (F.col("_js") == F.col("_j0")), "left").withColumn("_got", F.coalesce("_hot", "_rest"))
     return joined.select(*big.columns, *[F.col(f"_got.{c}").alias(c) for c in out])
 

@@ -150,7 +150,7 @@ def _fits(df: np.ndarray, n_docs: int):
     return run
 
 
-def document_frequencies(rows: DataFrame, groups: int = 256) -> tuple[np.ndarray, int]:
+def document_frequencies(rows: DataFrame, groups: int = 32) -> tuple[np.ndarray, int]:
     """In how many of the rows' texts each feature occurs, and the number of rows. Each task adds up one array of fixed size, the arrays
     are added in ``groups`` tasks, and theirs in one: the driver gets a single array."""
     parts = rows.select("text").mapInArrow(_frequencies, "part int, n long, df binary")

@@ -208,7 +208,7 @@ def window_ids(inv: np.ndarray, begin: np.ndarray, n: np.ndarray, pad: int) -> n
     return np.where(step < n, inv[np.minimum(begin + step, len(inv) - 1)], pad)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int | None = None, most_epochs: int = 12, batch: int = 16, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, most_epochs: int = 5, batch: int = 16, per_doc: int = 16, rate: float = 0.02, seed: int = 3) -> Net | None:
     """Adam on the log loss of a document's log-sum-exp; of a longer document's windows ``per_doc`` are used in
     an epoch: drawn at random in the first, later half at random and half those that score highest so far."""
     y = np.array(labels)

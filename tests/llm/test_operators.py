@@ -82,23 +82,11 @@ def test_exact_dedup(docs, odd, nothing):
     assert trie_dedup.exact_dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_trie_dedup", "op8_warc"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_trie_dedup", "op5_shard_sizes", "op8_warc"])
 def test_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == duck_rows(queries.ORACLE[name], tables_of(sf))
 
 
-def test_line_dedup(spark, docs, odd, nothing):
-    out = line_dedup.line_dedup(docs)
-    assert out.columns == [*docs.columns, "removed_chunks", "removed_lines"] and out.count() == len(odd)
-    by = {(r["doc_id"], r["text"]) for r in out.collect()}
-    assert (5, None) in by and (6, "") in by and (8, "one") in by
-    assert line_dedup.line_dedup(nothing).count() == 0
-    passage = "\n".join(f"line {k} of the passage" for k in range(30))
-    two = spark.createDataFrame([(1, "intro\n" + passage), (2, "other\nstart\n" + passage + "\nend")], "doc_id long, text string")
-    r = {x["doc_id"]: x for x in line_dedup.line_dedup(two).collect()}
-    assert r[1]["removed_lines"] == 0 and r[2]["removed_lines"] >= 20 and r[2]["text"].startswith("other")
-
-
 def brute_passages(docs):
     """Lines of runs of 50 or more words whose adjacent pairs all occur before, and repeated single lines of as many words: (doc, line)."""
     seen, gone = set(), set()
@@ -120,8 +108,26 @@ def brute_passages(docs):
     return gone
 
 
-def test_passage_dedup(spark, docs, odd, nothing):
-    """Passages of 1 to 5 lines inside different contexts, short ones and repeats within a text, against brute force; line_dedup misses many of these."""
+def brute_sparse(docs):
+    """Lines of multi-line chunks between rolling-hash boundaries that occurred before, of under 50 words: (doc, line)."""
+    seen, gone = set(), set()
+    for d, text in sorted(docs):
+        lines = text.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        start = 0
+        for i in range(len(lines)):
+            if i == len(lines) - 1 or (h[i] + 31 * (h[i - 1] if i else 0)) % 4 == 0:
+                body = tuple(lines[start : i + 1])
+                if len(body) > 1 and len(" ".join(body).split()) < 50:
+                    if body in seen:
+                        gone |= {(d, j) for j in range(start, i + 1)}
+                    seen.add(body)
+                start = i + 1
+    return gone
+
+
+def test_line_dedup(spark, docs, odd, nothing):
+    """Passages of 1 to 5 lines inside different contexts, short ones, repeats within a text, against brute force."""
     rng = np.random.default_rng(4)
     line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     passages = [[line(int(np.ceil(words / k))) for _ in range(k)] for k in range(1, 6) for words in (20, 60) for _ in range(6)]
@@ -130,26 +136,34 @@ def test_passage_dedup(spark, docs, odd, nothing):
         before = [line(9) for _ in range(rng.integers(1, 6))]
         rows.append((d, "\n".join(before + p + [line(9) for _ in range(rng.integers(1, 6))])))
         placed.append((d, len(before), p))
-    same = line(40)
+    same, short = line(40), [line(3) for _ in range(40)]
     rows.append((len(rows), "\n".join([same] * 4)))
-    out = {r["doc_id"]: r for r in line_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    want, old = brute_passages(rows), {(r["doc_id"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("removed_lines > 0").collect()}
+    rows += [(len(rows) + k, "\n".join([line(2), *short[k:], line(2)])) for k in range(3)]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_passages(rows) | brute_sparse(rows)
+    assert brute_sparse(rows) - brute_passages(rows)
     assert all((d, at + j) in want for d, at, p in placed if d >= len(passages) and len(" ".join(p).split()) >= 50 for j in range(len(p)))
-    assert {d for d, _ in want} - old  # what sparse chunks leave
     stays = collections.Counter()
     for d, text in rows:
-        got, lines = out[d]["text"].split("\n"), text.split("\n")
-        least = [x for i, x in enumerate(lines) if (d, i) not in want]
-        short = d < len(placed) and len(" ".join(placed[d][2]).split()) < 50
-        assert (got == least) or (short and d in old), d  # a short passage goes only where it holds a whole chunk
-        assert out[d]["removed_lines"] == len(lines) - (len(got) if out[d]["text"] or "" in lines else 0)
-        stays.update(got)
+        lines = text.split("\n")
+        left = [x for i, x in enumerate(lines) if (d, i) not in want]
+        assert out[d]["text"] == "\n".join(left) and out[d]["removed_lines"] == len(lines) - len(left), d
+        stays.update(left)
     assert all(stays[x] for _, text in rows for x in text.split("\n"))
-    whole = line_dedup.passage_dedup(docs)
+    whole = line_dedup.line_dedup(docs)
     assert whole.columns == [*docs.columns, "removed_lines"] and whole.count() == len(odd)
     by = {(r["doc_id"], r["text"]) for r in whole.collect()}
     assert (5, None) in by and (6, "") in by and (8, "one") in by
-    assert line_dedup.passage_dedup(nothing).count() == 0
+    assert line_dedup.line_dedup(nothing).count() == 0
+
+
+def test_line_dedup_carries_columns_of_any_name(spark):
+    names = ["_d", "_t", "removed_lines", "removed_chunks", "_gone", "gone", "lines", "row", "key", "start"]
+    p = "\n".join(f"line {k} of the passage has some words" for k in range(20))
+    rows = [(1, p, *[f"{n} one" for n in names]), (2, "top\n" + p, *[f"{n} two" for n in names])]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)))
+    assert out.columns == ["doc_id", "text", *names, "removed_lines_"]
+    assert sorted(map(tuple, out.collect())) == [(*rows[0], 0), (2, "top", *rows[1][2:], 20)]
 
 
 def test_communication_matrix():
@@ -163,7 +177,9 @@ def test_communication_matrix():
 
 
 def test_sharding(docs, odd, nothing):
-    out = sharding.assign(docs, 5, parts=3).collect()
+    out = sharding.assign(docs, 5, rows_a_range=2).collect()
+    fewer = lambda v: sorted((r["doc_id"] or -1, r["shard"], r["slot"]) for r in v)
+    assert fewer(out) == fewer(sharding.assign(docs, 5).collect())  # ranges don't change the order
     assert len(out) == len(odd)
     per = collections.defaultdict(list)
     for r in out:
@@ -175,6 +191,7 @@ def test_sharding(docs, odd, nothing):
     assert sharding.assign(nothing, 5).count() == 0
     whole = sharding.shard_rows(docs, 5)
     assert whole.columns == [*docs.columns, "_shard", "_slot"] and whole.count() == len(odd)
+    assert sharding.shard_rows(whole, 3).columns == [*whole.columns, "_shard_", "_slot_"] and sharding.shard_rows(whole, 3).count() == len(odd)
 
 
 def brute_components(rows, k, percent):
@@ -207,6 +224,7 @@ def brute_components(rows, k, percent):
 def test_near_dedup(spark, docs, odd, nothing, monkeypatch, cell):
     monkeypatch.setattr(near_dedup, "CELL", cell[0])
     monkeypatch.setattr(near_dedup, "CELL_SHINGLES", cell[1])
+    monkeypatch.setattr(near_dedup, "CELL_MEMBERS", cell[0])
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(60)]
     near = []
@@ -215,7 +233,9 @@ def test_near_dedup(spark, docs, odd, nothing, monkeypatch, cell):
         for p in rng.choice(60, k % 4, replace=False):
             w[p] = f"e{k}"
         near.append((100 + k, " ".join(w)))
-    rows = [(r[0], r[1]) for r in odd] + near
+    a, b = [" ".join(f"{x}{i}" for i in range(60)) for x in "pq"]
+    same_id = [(201, a), (201, b), (205, b + " more"), (206, a + " more")]  # one id, two texts, and a near copy of each
+    rows = [(r[0], r[1]) for r in odd] + near + same_id
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=4)
     norm = lambda v: sorted(map(repr, v))
     assert norm((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == norm(brute_components(rows, 4, 80))
@@ -251,6 +271,38 @@ def test_components(spark):
         assert got[start] == min(seen)
 
 
+def brute_fingerprint(text):
+    """Order MinHash in plain integers, from the k-mers up."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & full
+        return h ^ (h >> 31)
+
+    if not text:
+        return [0] * 32
+    k = min(6, len(text))
+    seen, marks = collections.Counter(), []
+    for i in range(len(text) - k + 1):
+        h = ord(text[i])
+        for c in text[i + 1 : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & full
+        h = mix((h + k) & full)
+        nth = seen[h >> 20]
+        seen[h >> 20] += 1
+        marks.append(mix((h + nth * 0xC2B2AE3D27D4EB4F) & full) if nth else h)
+    out = []
+    for j in range(1, 33):
+        odd = mix(j * 0xA24BAED4963EE407 & full) | 1
+        at = sorted(sorted(range(len(marks)), key=lambda i: (marks[i] * odd & full, i))[:2])
+        h = 2
+        for i in at:
+            h = mix((h * 0x9E3779B97F4A7C15 + marks[i]) & full)
+        out.append((h >> 32) | 1)
+    return out
+
+
 def test_fingerprints(spark, docs, odd, nothing):
     rows = [r for r in odd if r[0] is not None]
     out = order_minhash.fingerprint_edits(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
@@ -260,6 +312,14 @@ def test_fingerprints(spark, docs, odd, nothing):
         n = len(t) // 2
         want[i, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest(), order_minhash.as_text(order_minhash.fingerprint(t))] += 1
     assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in out) == want
+    prints = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in out}
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        n = len(t) // 2
+        new = t[: len(t) - n] + nxt[:n]
+        r = prints[i, len(t), hashlib.sha256(new.encode()).hexdigest()]
+        own, other, after = (brute_fingerprint(x) for x in (t, new, nxt))
+        assert r["fingerprint"] == "".join(f"{x:08x}" for x in own) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in other)
+        assert r["near_edited"] == sum(a == b for a, b in zip(own, other)) / 32 and r["near_next"] == sum(a == b for a, b in zip(own, after)) / 32
     assert order_minhash.fingerprint_edits(docs).count() == len(odd)
     assert order_minhash.fingerprint_edits(nothing).count() == 0
 
@@ -300,7 +360,6 @@ def test_packing(docs, odd, nothing):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out = packing.pack(docs, path, 64, bins=3).collect()
     bins = collections.defaultdict(list)
     for r in out:
@@ -327,6 +386,16 @@ def test_word_ids_are_the_tokenizers():
     assert coder.encode(texts) == coder._ids(texts)
 
 
+def test_words_of_long_texts():
+    """Blocks cut texts and words anywhere; the result is that of one block."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("aB é\n"), rng.integers(0, 60))) for _ in range(40)] + ["x" * 100, "", "", "y" * 33]
+    col = utf8(pa.array(texts, pa.large_string()))
+    whole = words(*col)
+    for most in (1, 2, 7, 16, 64):
+        assert all((a == b).all() for a, b in zip(whole, words(*col, most=most)))
+
+
 def test_open_bins_against_brute_force():
     rng = np.random.default_rng(5)
     bins, free = packing.OpenBins(50, 4), {}
@@ -337,7 +406,10 @@ def test_open_bins_against_brute_force():
             assert free[b] == fit[0][0] and closed in (None, b)
         else:
             if len(free) >= 4:
-                assert free.pop(closed) == min(free.values(), default=99) or True
+                assert free[closed] == min(free.values())  # the fullest closes
+                del free[closed]
+            else:
+                assert closed is None
             assert offset == 0
             free[b] = 50
         assert offset == 50 - free[b]
@@ -347,6 +419,76 @@ def test_open_bins_against_brute_force():
         assert len(free) <= 4
 
 
+def test_language_model_against_brute_force():
+    """TF-IDF, two epochs of FTRL with elastic net and the temperature in plain dictionaries."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(a), 40)) for _ in range(12) for a in ("abc de", "cde fg")]
+    langs = ["x", "y"] * 12
+    df, n_docs = np.arange(1 << language_id.BITS) % 7, 50
+    model = language_id.fit(texts, langs, df, n_docs)
+
+    def grams(t):
+        out = collections.Counter()
+        cp = [ord(c) for c in t.lower()]
+        for i in range(len(cp)):
+            h = 0
+            for n in range(min(4, len(cp) - i)):
+                h = (h + cp[i + n] + 1) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+                out[(h * 0x85EBCA77 % 2**32) >> 17] += 1
+        x = {f: np.log(1 + c) * (np.log((1 + n_docs) / (1 + df[f])) + 1) for f, c in out.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {f: v / norm for f, v in x.items()}
+
+    z, nn, zb, nb = collections.defaultdict(lambda: np.zeros(2)), collections.defaultdict(lambda: np.zeros(2)), np.zeros(2), np.zeros(2)
+    alpha, l1, l2 = 0.5, 0.02, 0.01
+    weight = lambda f: np.array([0.0 if abs(z[f][c]) <= l1 else -(z[f][c] - np.sign(z[f][c]) * l1) / ((1 + nn[f][c] ** 0.5) / alpha + l2) for c in (0, 1)])
+    bias = lambda: -zb / ((1 + nb**0.5) / alpha + l2)
+    learn, order = np.array([k for k in range(24) if k % 5 != 4]), np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(learn):
+            x = grams(texts[k])
+            w = {f: weight(f) for f in x}
+            b = bias()
+            e = np.exp(sum(x[f] * w[f] for f in x) + b)
+            e = e / e.sum()
+            e["xy".index(langs[k])] -= 1
+            for f in x:
+                g = x[f] * e
+                z[f] = z[f] + g - ((nn[f] + g * g) ** 0.5 - nn[f] ** 0.5) / alpha * w[f]
+                nn[f] = nn[f] + g * g
+            zb, nb = zb + e - ((nb + e * e) ** 0.5 - nb**0.5) / alpha * b, nb + e * e
+    assert np.allclose(model.bias, bias()) and all(np.allclose(model.weights[f], weight(f)) for f in z)
+    assert np.count_nonzero(model.weights) == sum(np.count_nonzero(weight(f)) for f in z)
+    x = grams("abc de fg")
+    logits = (sum(x[f] * weight(f) for f in x) + bias()) / model.temperature
+    lang, score = model.predict("abc de fg")
+    assert lang == "xy"[int(logits.argmax())] and abs(score - 1 / np.exp(logits - logits.max()).sum()) < 1e-9
+    assert language_id.counts("é" * 700_000)[1].max() < np.log(700_001) + 1e-9
+
+
+def test_letters():
+    model = language_id.fit(["abc"] * 3 + ["xyz"] * 3, ["a"] * 3 + ["b"] * 3)
+    assert [model.predict(t)[0] == "und" for t in ("½", "²", "Ⅷ", "①", "1 _!", "", "a", "漢", "ª", "é")] == [True] * 6 + [False] * 4
+
+
+def test_held_out_rows_are_never_learnt_from(spark, sf):
+    """Held-out rows with other texts, languages and labels give the same models."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    fold = lambda n: F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    other = d.withColumn("text", F.when(fold(5) == 0, F.lit("poison poison")).otherwise(F.col("text"))).withColumn("lang", F.when(fold(5) == 0, F.lit("zz")).otherwise(F.col("lang")))
+    a, b = language_id.train(d), language_id.train(other)
+    assert a.classes == b.classes and (a.weights == b.weights).all() and (a.idf == b.idf).all() and a.temperature == b.temperature
+    df, n = language_id.document_frequencies(d.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(5) != 0), groups=2)
+    texts = [r["text"] for r in d.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(5) != 0).collect()]
+    assert n == len(texts) and (df == np.bincount(np.concatenate([language_id.counts(t)[0] for t in texts]), minlength=1 << language_id.BITS)).all()
+    flipped = labels.withColumn("toxic", F.when(fold(4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    changed = d.withColumn("text", F.when(fold(4) == 2, F.lit("poison poison")).otherwise(F.col("text")))
+    x, y = toxicity.train(d, labels), toxicity.train(changed, flipped)
+    assert all((x.p[k] == y.p[k]).all() for k in x.p)
+
+
 def test_models_held_out(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     langs = queries.op4_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
@@ -354,6 +496,9 @@ def test_models_held_out(spark, sf):
     out = queries.op10_toxicity(spark, d)
     assert out.count() == spark.read.parquet(f"{d}/documents.parquet").count()
     assert out.where("score < 0 OR score > 1 OR predicted <> cast(score >= 0.3 AS int)").count() == 0
+    held = out.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
+    r = held.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))).first()
+    assert r[0] >= 0.6 and r[1] <= 0.05, r  # recall, and share of clean rows flagged; 5 of these 14 toxic rows hold no toxic word
 
 
 def test_model_edges(docs, odd, nothing, spark):
@@ -391,24 +536,29 @@ def test_toxicity_learns_and_gradients():
         assert abs((up - down) / (2 * step) - g[name][at_]) < 2e-2 * max(1, abs(g[name][at_])), name
 
 
-def test_piece_sampling_distribution():
+@pytest.mark.parametrize("near", [30.0, 0.01])
+def test_piece_sampling_distribution(monkeypatch, near):
+    """With near = 0.01 almost all leaving sets are held as one until it is opened."""
+    monkeypatch.setattr(piece_sampling, "NEAR", near)
     model = piece_sampling.Pieces.of(queries.tokenizer("piece_bpe_32k.model"))
-    lat = piece_sampling.Lattice(model, ["ab", "cd"], 0.1)
+    lat = piece_sampling.Lattice(model, 0.1)
+    starts, off = lat.states(["ab cd"])
+    assert off.tolist() == [0, 2]
 
     def every(state):
-        if lat.done[state]:
+        if lat.lo[state] == lat.lo[state + 1]:
             yield (), 0.0
             return
-        for e in range(lat.lo[state], lat.hi[state]):
+        for e in range(lat.lo[state], lat.lo[state + 1]):
             for ids, lp in every(int(lat.to[e])):
                 yield (int(lat.piece[e]), *ids), lat.logp[e] + lp
 
-    both = [list(every(int(s))) for s in lat.first]
+    both = [list(every(int(s))) for s in starts]
     p = {a[0] + b[0]: np.exp(a[1] + b[1]) for a in both[0] for b in both[1]}
     assert abs(sum(p.values()) - 1) < 1e-9
     n, k = 6000, 3
     got = collections.defaultdict(list)
-    for d, _, lp, top, inclusion, ids in piece_sampling.sample(model, ["ab cd"] * n, piece_sampling.mix(np.arange(n, dtype=np.uint64)), k, 0.1):
+    for d, _, lp, top, inclusion, ids in piece_sampling.sample(model, ["ab cd"] * n, piece_sampling.mix(np.arange(n, dtype=np.uint64)), k, 0.1, lat):
         got[d].append((tuple(ids.tolist()), top))
         assert abs(np.log(p[tuple(ids.tolist())]) - lp) < 1e-6 and 0 < inclusion <= 1
     pairs = collections.Counter()
@@ -421,9 +571,24 @@ def test_piece_sampling_distribution():
     assert max(abs(third[c] / n - want[c]) for c in p) < 0.025
 
 
+def test_piece_samples_do_not_depend_on_the_batch(monkeypatch):
+    model = piece_sampling.Pieces.of(queries.tokenizer("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdeé漢🙂"), rng.integers(0, 9))) for _ in range(rng.integers(1, 90))) for _ in range(60)] + ["y" * 5000 + " z", "", " ", "\0 \0"]
+    keys = piece_sampling.mix(np.arange(len(texts), dtype=np.uint64))
+    row = lambda x: (x[1], x[2], x[3], x[4], x[5].tolist())
+    together = {(x[0], x[1]): row(x) for x in piece_sampling.sample(model, texts, keys, 3, 0.3, piece_sampling.Lattice(model, 0.3))}
+    monkeypatch.setattr(piece_sampling, "KEEP", 50)  # every text begins with an empty memory
+    lat = piece_sampling.Lattice(model, 0.3)
+    alone = {(d, x[1]): row(x) for d in reversed(range(len(texts))) for x in piece_sampling.sample(model, [texts[d]], keys[d : d + 1], 3, 0.3, lat)}
+    assert together == alone
+    assert all(model.decode(np.array(x[4], np.int64)).decode() == texts[d] for (d, _), x in together.items())
+
+
 def test_piece_round_trip(docs, odd, nothing):
     path = queries.tokenizer("piece_bpe_32k.model")
-    out = piece_sampling.decode_pieces(piece_sampling.sample_pieces(docs, path, k=2), path).collect()
+    out = piece_sampling.decode_pieces(piece_sampling.sample_pieces(docs, path, k=2, with_digest=True), path).collect()
+    assert all(r["text_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() for r in out)
     texts = collections.defaultdict(set)
     for r in odd:
         texts[r[0]].add(r[1] or "")
@@ -438,4 +603,8 @@ def test_join_hot(spark):
     small = big.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
     for few in (0, 10**6):
         got = join_hot(big, small, "key", "n", 3000, few=few)
+        if not few:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "_js" in plan.split("hashpartitioning(")[1].split(")")[0]  # the scatter is a key of the shuffle
         assert got.count() == 3001 and got.where("key IS NOT NULL AND n IS NULL").count() == 0 and got.where("key = 'hot'").first()["n"] == 2000
+        assert join_hot(big, small, "key", "n", 3000, few=few, inner=True).count() == 3000
