@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +116,22 @@ def slices(it: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iter
                 yield batch.slice(a, b - a)
 
 
-# ---- words as numbers, remembered by a worker ----
+# ---- what a worker remembers ----
+
+_owner: list = ["", None]
+
+
+def only(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Call at the start of a task. A Python worker serves tasks of one operator after another and would keep what each remembers
+    (words, tables); now it forgets what another operator left, and freed memory goes back to the system."""
+    if _owner[0] != owner:
+        if _owner[1]:
+            _owner[1]()
+        _owner[:] = [owner, forget]
+        gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 
 class Known(dict):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import crc32_mod, slices
+from ._shared import crc32_mod, only, slices
 
 BITS = 15
 _BLOCK = 1 << 18
@@ -161,6 +161,7 @@ def document_frequencies(rows: DataFrame, groups: int = 32) -> tuple[np.ndarray,
 
 
 def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("language")
     df, n = np.zeros(1 << BITS, np.int64), 0
     for part in slices(it, "text"):
         for t in part.column("text"):
@@ -181,6 +182,7 @@ def _sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _predicts(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         model = shared.value
         for part in slices(it, "text"):
             got = [model.predict(t.as_py()) for t in part.column("text")]
@@ -202,6 +204,7 @@ def keep_known(docs: DataFrame, model: Model, floor: float = 0.0) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         for part in slices(it, "text"):
             got = [shared.value.predict(t.as_py()) for t in part.column("text")]
             yield part.filter(pa.array([g[0] != "und" and g[1] >= floor for g in got]))

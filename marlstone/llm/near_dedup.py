@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_hot, mix, shingle_hashes, slices, stash, text_col, utf8, words
+from ._shared import join_hot, mix, only, shingle_hashes, slices, stash, text_col, utf8, words
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -82,7 +82,8 @@ _SIG = "doc_id long, place long, n_shingles long, digest string, bands array<lon
 
 def _signs(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(it, "text", 2 << 20):
+        only("near")
+        for part in slices(it, "text", 1 << 20):
             n, digest, bands, sketch = [], [], [], []
             for s in sets_of(text_col(part, "text"), k):
                 n.append(len(s))
@@ -186,6 +187,7 @@ def _bucket_edges(percent: int):
 
 def _member_sets(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("near")
         seen = np.zeros(0, np.int64)  # nodes of this task: rows with the same id and text come to one task
         for part in slices(it, "text", 2 << 20):
             fresh = part.column("node").to_numpy()

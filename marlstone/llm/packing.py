@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Known, ranges, segments, slices, stash, text_col
+from ._shared import Known, only, ranges, segments, slices, stash, text_col
 
 
 class WordIds:
@@ -235,6 +235,7 @@ class Packer:
 
 def _packs(path: str, size: int, bins: int, end_id: int, with_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing", WordIds._by_path.clear)
         coder, packer = WordIds.of(path), Packer(size, bins, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         for part in slices(it, "text"):

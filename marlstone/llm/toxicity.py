@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import crc32_mod, mix, slices, text_col, utf8, words
+from ._shared import crc32_mod, mix, only, slices, text_col, utf8, words
 
 WINDOW, STRIDE = 32, 16
 LONGEST = 48  # bytes of a word
@@ -328,7 +328,8 @@ def _fits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(it, "text", 2 << 20):
+        only("toxicity")
+        for part in slices(it, "text", 1 << 20):
             s = score(shared.value, text_col(part, "text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -347,7 +348,8 @@ def keep_clean(docs: DataFrame, net: Net | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(it, "text", 2 << 20):
+        only("toxicity")
+        for part in slices(it, "text", 1 << 20):
             yield part.filter(pa.array(score(shared.value, text_col(part, "text")) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
