@@ -79,6 +79,11 @@ def section_overview(blocks: DataFrame, label: Column) -> DataFrame:
     return blocks.groupBy(label.alias("label")).agg(F.count("*").alias("blocks"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.array_sort(F.collect_set("block_type")).alias("types"))
 
 
+def with_reading_index(blocks: DataFrame) -> DataFrame:
+    """Adds reading_index: a document's blocks numbered from 0 in reading order."""
+    return blocks.withColumn("reading_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*reading_order(), "ord")) - 1)
+
+
 def reading_order(grid: int = 50) -> list[Column]:
     """Page, line band (banker's rounding), left edge; a missing box is at 0."""
     y, x = F.coalesce("bounding_box.y1", F.lit(0.0)), F.coalesce("bounding_box.x1", F.lit(0.0))

@@ -35,6 +35,11 @@ def boxes(words: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("width", F.col("x2") - F.col("x1")).withColumn("height", F.col("y2") - F.col("y1"))
 
 
+def with_text(blocks: DataFrame, least_chars: int = 5, least_words: int = 3) -> DataFrame:
+    """Blocks of enough words whose text has enough characters (three are asked for where pages are read without blocks)."""
+    return blocks.where((F.col("words") >= least_words) & (F.length(F.trim("text")) >= least_chars))
+
+
 def titles(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("title_score", title_score(F.col("text"), word_count(F.col("text")), F.col("height"), F.col("x1"))).withColumn("is_title", F.col("title_score") >= 3)
 
@@ -92,10 +97,14 @@ def relative_size(words: DataFrame) -> DataFrame:
 
 
 def fonts(words: DataFrame, sample: int = 100) -> DataFrame:
-    """Per font: characters, mean size, range, a sample in reading order, the content type."""
+    """Per font: characters, mean size, range, a sample in reading order, the content type. For the sample each task keeps the first
+    ``sample`` words of a font alone (a word has a character at least)."""
+    nth = F.row_number().over(Window.partitionBy("fontname").orderBy("ord"))
+    first = words.where("text <> ''").select("fontname", "ord", "text").withColumn("_n", nth).where(F.col("_n") <= sample)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda v: v["text"]), "")
-    g = words.groupBy("fontname").agg(F.sum(F.length("text")).alias("chars"), F.avg("size").alias("avg_size"), F.format_string("%.1f-%.1f", F.min("size"), F.max("size")).alias("range"), F.substring(text, 1, sample).alias("sample"))
-    return g.withColumn("kind", font_kind(F.col("fontname"), F.col("avg_size")))
+    starts = first.groupBy("fontname").agg(F.substring(text, 1, sample).alias("sample"))
+    g = words.groupBy("fontname").agg(F.sum(F.length("text")).alias("chars"), F.avg("size").alias("avg_size"), F.format_string("%.1f-%.1f", F.min("size"), F.max("size")).alias("range"))
+    return g.join(starts, "fontname", "left").withColumn("kind", font_kind(F.col("fontname"), F.col("avg_size")))
 
 
 def has_rulings(lines: DataFrame) -> DataFrame:

@@ -10,20 +10,20 @@ from ..operators import blocks as B
 from ..operators import tables as C
 from .registry import query, table
 
-# Blocks of pages by four methods: title element, first heading, paragraphs, whole text; a document is 10 pages.
+# Blocks of pages by four methods: title element, headings, all paragraphs; a document is 10 pages.
 _PAGES = """
 p AS (SELECT page_id, page_id % 25 AS doc_id, page_id // 25 + 1 AS page, html FROM pages),
-b AS (SELECT doc_id, 'docling' AS m, 0 AS k, CASE WHEN page % 4 = 0 THEN NULL ELSE page END AS page, 'title' AS t, 0.8 AS conf, regexp_extract(html, '<title>([^<]*)</title>', 1) AS text, page_id AS ord FROM p
-  UNION ALL SELECT doc_id, 'layout_parser', 1, page, 'title', 0.8, regexp_extract(html, '<h1>([^<]*)</h1>', 1), page_id FROM p
-  UNION ALL SELECT doc_id, 'hybrid', 2, page, 'text', 0.7 + (page_id % 3) / 10.0, regexp_extract(html, '<p>([^<]*)</p>', 1), page_id FROM p
-  UNION ALL SELECT doc_id, 'pdfplumber_tesseract', 3, page, 'text', 0.9, regexp_extract(html, '<p>([^<]*)</p>', 1), page_id FROM p),
+b AS (SELECT doc_id, 'docling' AS m, 0 AS k, CASE WHEN page % 4 = 0 THEN NULL ELSE page END AS page, 'title' AS t, 0.8 AS conf, array_to_string(regexp_extract_all(html, '<title>([^<]*)</title>', 1), ' ') AS text, page_id AS ord FROM p
+  UNION ALL SELECT doc_id, 'layout_parser', 1, page, 'title', 0.8, array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), ' '), page_id FROM p
+  UNION ALL SELECT doc_id, 'hybrid', 2, page, 'text', 0.7 + (page_id % 3) / 10.0, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' '), page_id FROM p
+  UNION ALL SELECT doc_id, 'pdfplumber_tesseract', 3, page, 'text', 0.9, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' '), page_id FROM p),
 u AS (SELECT doc_id::VARCHAR AS doc_id, m || '_' || t || '_' || ord AS block_id, m, page, t, conf::DOUBLE AS conf, text, k * 1099511627776 + ord AS ord,
   len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM b)"""
 
 
 def _blocks(spark, d):
     p = table(spark, d, "pages").select((F.col("page_id") % 25).alias("doc_id"), (F.floor(F.col("page_id") / 25) + 1).alias("page"), "html", "page_id")
-    tag = lambda t: F.regexp_extract("html", f"<{t}>([^<]*)</{t}>", 1)
+    tag = lambda t: F.array_join(F.regexp_extract_all("html", F.lit(f"<{t}>([^<]*)</{t}>"), F.lit(1)), " ")
     page, ord = F.col("page"), F.col("page_id")
     frames = {
         "docling": B.block(p, "docling", F.lit("title"), tag("title"), F.when(page % 4 != 0, page), F.lit(0.8), ord),
@@ -194,10 +194,11 @@ def first_rows(spark, d):
 
 
 @query("f33_d05_records", f"""WITH {_CELLS}, h AS (SELECT table_id, col_idx, value AS header FROM c WHERE row_idx = 0), b AS (SELECT c.table_id, c.row_idx, h.header, c.value, row_number() OVER (PARTITION BY c.table_id, c.row_idx, h.header ORDER BY c.col_idx DESC) AS n
-  FROM c JOIN h USING (table_id, col_idx) WHERE c.row_idx > 0 AND h.header IS NOT NULL) SELECT table_id, row_idx, count(*) AS keys, max(value) FILTER (header = 'R') AS r FROM b WHERE n = 1 GROUP BY ALL""")
+  FROM c JOIN h USING (table_id, col_idx) WHERE c.row_idx > 0 AND h.header IS NOT NULL) SELECT table_id, row_idx, string_agg(header || '=' || coalesce(value, ''), ';' ORDER BY header) AS record FROM b WHERE n = 1 GROUP BY ALL""")
 def records(spark, d):
     r = C.records(_cells(spark, d).where("row_idx > 0 OR value IS NOT NULL"))
-    return r.select("table_id", "row_idx", F.size("record").cast("long").alias("keys"), F.try_element_at("record", F.lit("R")).alias("r"))
+    pair = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    return r.select("table_id", "row_idx", F.array_join(F.transform(F.array_sort(F.map_entries("record")), pair), ";").alias("record"))
 
 
 @query("j18_a32_precision_recall", f"""WITH {_CELLS}, e AS (SELECT table_id, row_idx, col_idx, CASE WHEN (table_id + row_idx) % 7 = 0 THEN 'wrong' ELSE trim(value) END AS a FROM c WHERE (row_idx + col_idx) % 5 <> 4),
@@ -215,12 +216,12 @@ def html_backend(spark, d):
     return extract("html", table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"))
 
 
-@query("m01_html_elements", r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title FROM pages""")
+@query("m01_html_elements", r"""SELECT page_id, trim(replace(replace(replace(replace(replace(array_to_string(regexp_extract_all(html, '<title>([^<]*)</title>', 1), ' '), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title FROM pages""")
 def html_elements(spark, d):
     return table(spark, d, "pages").select("page_id", element(F.col("html"), "title").alias("title"))
 
 
-@query("a14_a15_text_stats", "SELECT lang, count(*) AS files, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / count(*)::DOUBLE, 6) AS avg_chars FROM documents GROUP BY lang")
+@query("a14_text_stats", "SELECT lang, count(*) AS files, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / count(*)::DOUBLE, 6) AS avg_chars FROM documents GROUP BY lang")
 def text_stats(spark, d):
     from ..operators.methods import text_stats as stats
 

@@ -10,10 +10,10 @@ from ..operators.blocks import reading_order, type_place
 from ..operators.recon import summary
 
 
-def jsonl(blocks: DataFrame, path: str) -> None:
-    """One folder per method and document; the key columns stay in the rows."""
-    keyed = blocks.withColumns({"_method": F.col("extraction_method"), "_doc": F.col("doc_id")})
-    keyed.write.mode("overwrite").partitionBy("_method", "_doc").json(path)
+def jsonl(blocks: DataFrame, path: str, by_doc: bool = True) -> None:
+    """One folder per method and document, or (for very many documents) per method; the key columns stay in the rows."""
+    keyed = blocks.withColumns({"_method": F.col("extraction_method")} | ({"_doc": F.col("doc_id")} if by_doc else {}))
+    keyed.write.mode("overwrite").partitionBy("_method", *(["_doc"] if by_doc else [])).json(path)
 
 
 def registry(documents: DataFrame, path: str) -> None:
@@ -56,6 +56,34 @@ def sections_report(blocks: DataFrame, label: Column) -> DataFrame:
     return render(blocks.withColumn("label", label), F.format_string("[p%d %s] %s", F.coalesce("page_number", F.lit(1)), "block_type", F.coalesce("content.text", F.lit(""))), ["doc_id", "label"], F.col("page_number"), F.col("ord"), end="\n")
 
 
+FORMS = ["markdown", "json", "text"]
+
+
+def exports(documents: DataFrame, blocks: DataFrame, method: str, form: str) -> DataFrame:
+    """doc_id, method, form, text: one method's blocks of each document in one of FORMS. A method without blocks gives no rows."""
+    mine = blocks.where(F.col("extraction_method") == method)
+    if form == "json":
+        out = export_json(documents.join(mine.select("doc_id").distinct(), "doc_id", "left_semi"), mine).withColumnRenamed("json", "text")
+    else:
+        out = {"markdown": markdown, "text": plain}[form](mine)
+    return out.select("doc_id", F.lit(method).alias("method"), F.lit(form).alias("form"), "text")
+
+
+def processing_summary(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row on a run: documents by status, blocks, pages, methods."""
+    d = documents.agg(F.count("*").alias("documents"), F.count_if(F.col("processing_status") == "success").alias("succeeded"))
+    b = blocks.agg(F.count("*").alias("blocks"), F.count_distinct("doc_id").alias("documents_with_blocks"), F.array_join(F.array_sort(F.collect_set("extraction_method")), ",").alias("methods"))
+    return d.crossJoin(b)  # one row and one row
+
+
+def drift_markdown(drift: DataFrame, columns: list[str]) -> DataFrame:
+    """One Markdown text with a table of the drift summary, from its rows."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |"))
+    rows = drift.agg(F.array_join(F.array_sort(F.collect_list(cells)), "\n").alias("rows"))  # one row per method
+    head = "# Drift\n\n| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
+    return rows.select(F.concat(F.lit(head), "rows").alias("text"))
+
+
 def banner(title: Column, body: Column, tables: Column) -> Column:
     """Clean-text frame: title, body and, if there are any, tables."""
     rule = F.lit("=" * 60)
@@ -73,11 +101,23 @@ def manifest(recon: DataFrame, tables: int, tolerance: float, rounding: float) -
     return summary(recon).select("*", F.lit(tables).alias("tables"), F.lit(tolerance).alias("tolerance"), F.lit(rounding).alias("rounding_tolerance"))
 
 
-def tables_csv(cells: DataFrame, path: str) -> None:
-    """A folder per table, rows as CSV lines in order."""
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda c: F.coalesce(c["value"], F.lit(""))), ",")
-    rows = cells.groupBy("table_id", "row_idx").agg(line.alias("line"))
-    rows.repartition("table_id").sortWithinPartitions("table_id", "row_idx").select("table_id", "line").write.mode("overwrite").partitionBy("table_id").text(path)
+def csv_lines(cells: DataFrame) -> DataFrame:
+    """table_id, row_idx, line: each row's cells as a CSV line. Cells with commas, quotes or line feeds are quoted, and a row's only cell if it is empty."""
+
+    def quoted(v: Column) -> Column:
+        return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(v, F.lit("")))
+
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda c: quoted(c["value"])), ",")
+    return cells.groupBy("table_id", "row_idx").agg(line.alias("line")).withColumn("line", F.when(F.col("line") == "", '""').otherwise(F.col("line")))
+
+
+def tables_csv(cells: DataFrame, path: str, by_table: bool = True) -> None:
+    """Rows as CSV lines in order: a folder per table, or (for very many tables) one set of files with table_id, row_idx and line."""
+    rows = csv_lines(cells).repartition("table_id").sortWithinPartitions("table_id", "row_idx")
+    if by_table:
+        rows.select("table_id", "line").write.mode("overwrite").partitionBy("table_id").text(path)
+    else:
+        rows.write.mode("overwrite").json(path)
 
 
 def boxes_json(blocks: DataFrame, path: str) -> None:

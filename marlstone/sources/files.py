@@ -33,21 +33,45 @@ def page_texts(spark: SparkSession, path: str) -> DataFrame:
 def table_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Cells of CSV files whose headers differ: table_id (file name), row_idx, col_idx, value. No inference, no merged schema.
 
-    Files are read whole as text and parsed line by line, so a quoted line feed isn't supported; unreadable files give no rows.
+    Files are read whole; quoted cells may hold commas, quotes and line feeds; unreadable files give no rows.
     """
     f = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(path, wholetext=True)
-    rows = f.select(F.regexp_replace(name("_metadata.file_path"), r"\.csv$", "").alias("table_id"), F.posexplode(F.split("value", "\r?\n", -1)).alias("row_idx", "line")).where("line <> ''")
-    cells = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    clean = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    return rows.select("table_id", "row_idx", F.posexplode(clean).alias("col_idx", "value"))
+    return csv_cells(f.select(F.regexp_replace(name("_metadata.file_path"), r"\.csv$", "").alias("table_id"), "value"), "value")
+
+
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def csv_cells(texts: DataFrame, text: str) -> DataFrame:
+    """Cells of whole CSV texts, beside their other columns: row_idx (blank lines count, but give no cells), col_idx, value. Quotes come off."""
+    keep = [c for c in texts.columns if c != text]
+    lines = F.regexp_extract_all(text, F.lit(rf'((?:[^"\r\n]++|{_QUOTED}|")*+)(?:\r?\n|$)'), F.lit(1))
+    rows = texts.select(*keep, F.posexplode(lines).alias("row_idx", "line")).where("line <> ''")
+    cells = F.regexp_extract_all("line", F.lit(rf"(?:^|,)({_QUOTED}|[^,]*)"), F.lit(1))
+    clean = F.transform(cells, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return rows.select(*keep, "row_idx", F.posexplode(clean).alias("col_idx", "value"))
 
 
 def filings(spark: SparkSession, root: str) -> DataFrame:
     """Cells of all */tables/*.csv under a root, in one job: doc_id is the folder's name."""
     f = spark.read.option("ignoreCorruptFiles", "true").text(f"{root}/*/tables/*.csv", wholetext=True)
     path = F.split("_metadata.file_path", "/")
-    rows = f.select(F.element_at(path, -3).alias("doc_id"), F.regexp_replace(F.element_at(path, -1), r"\.csv$", "").alias("table_id"), F.posexplode(F.split("value", "\r?\n", -1)).alias("row_idx", "line")).where("line <> ''")
-    return rows.select("doc_id", "table_id", "row_idx", F.posexplode(F.split("line", ",", -1)).alias("col_idx", "value"))
+    return csv_cells(f.select(F.element_at(path, -3).alias("doc_id"), F.regexp_replace(F.element_at(path, -1), r"\.csv$", "").alias("table_id"), "value"), "value")
+
+
+RESERVED = ["comparison", "logs", "reports", "tmp"]
+
+
+def processed(outputs: DataFrame, reserved: list[str] = RESERVED) -> DataFrame:
+    """Names of the documents that have an output folder (column ``folder``), without the reserved ones."""
+    return outputs.select(F.lower("folder").alias("folder")).where(F.col("folder").isNotNull() & ~F.col("folder").isin(reserved)).distinct()
+
+
+def file_stats(files: DataFrame, by: list[str]) -> DataFrame:
+    """Table files of each group (column ``file``): how many are CSV, and which formats there are."""
+    kind = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
+    g = files.withColumn("_k", kind).groupBy(*by)
+    return g.agg(F.count_if(F.col("_k") == "csv").alias("csv_files"), F.array_sort(F.collect_set(F.when(F.col("_k") != "", F.col("_k")))).alias("formats"))
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:
