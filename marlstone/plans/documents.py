@@ -12,7 +12,7 @@ from .registry import query, table
 
 # Blocks of pages by four methods: title element, headings, all paragraphs; a document is 10 pages.
 _PAGES = """
-p AS (SELECT page_id, page_id % 25 AS doc_id, page_id // 25 + 1 AS page, html FROM pages),
+p AS (SELECT page_id, page_id // 10 AS doc_id, page_id % 10 + 1 AS page, html FROM pages),
 b AS (SELECT doc_id, 'docling' AS m, 0 AS k, CASE WHEN page % 4 = 0 THEN NULL ELSE page END AS page, 'title' AS t, 0.8 AS conf, array_to_string(regexp_extract_all(html, '<title>([^<]*)</title>', 1), ' ') AS text, page_id AS ord FROM p
   UNION ALL SELECT doc_id, 'layout_parser', 1, page, 'title', 0.8, array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), ' '), page_id FROM p
   UNION ALL SELECT doc_id, 'hybrid', 2, page, 'text', 0.7 + (page_id % 3) / 10.0, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' '), page_id FROM p
@@ -22,7 +22,7 @@ u AS (SELECT doc_id::VARCHAR AS doc_id, m || '_' || t || '_' || ord AS block_id,
 
 
 def _blocks(spark, d):
-    p = table(spark, d, "pages").select((F.col("page_id") % 25).alias("doc_id"), (F.floor(F.col("page_id") / 25) + 1).alias("page"), "html", "page_id")
+    p = table(spark, d, "pages").select(F.expr("page_id div 10").alias("doc_id"), (F.col("page_id") % 10 + 1).alias("page"), "html", "page_id")
     tag = lambda t: F.array_join(F.regexp_extract_all("html", F.lit(f"<{t}>([^<]*)</{t}>"), F.lit(1)), " ")
     page, ord = F.col("page"), F.col("page_id")
     frames = {
