@@ -153,3 +153,24 @@ def with_page_summary(files: DataFrame, summary: DataFrame) -> DataFrame:
     first = summary.groupBy(*PAGE).agg(F.min_by(F.struct("used_ocr", "extraction_method"), "ord").alias("s"))
     j = files.join(first, PAGE, "left")
     return j.select(*files.columns, F.coalesce("s.used_ocr", F.lit(False)).alias("used_ocr"), F.coalesce("s.extraction_method", F.lit("pdfplumber")).alias("extraction_method"))
+
+
+def simple_page_layout(words: DataFrame, images: DataFrame) -> DataFrame:
+    """Layout without tables: anchored groups of words with three or more characters, short ones in capitals or off the left edge as titles; a
+    figure per image (doc_id, page_number, ord, x0, top, x1, bottom)."""
+    b = with_text(boxes(anchored_blocks(complete_words(words)), [*PAGE, "block"]), least_chars=3, least_words=1)
+    caps = (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))
+    title = (word_count(F.col("text")) <= 10) & (caps | (F.col("x1") > 100))
+    text = b.select(*PAGE, F.format_string("page_%03d_text_%03d", F.col("page_number"), F.col("block")).alias("block_id"), F.when(title, "title").otherwise("text").alias("block_type"), F.lit(0.8).alias("confidence"), "x1", "y1", "x2", "y2", F.trim("text").alias("content"), F.lit("word_grouping").alias("extraction_method"))
+    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord"))
+    figures = images.withColumn("_n", n).select(*PAGE, F.format_string("page_%03d_figure_%03d", F.col("page_number"), F.col("_n") - 1).alias("block_id"), F.lit("figure").alias("block_type"), F.lit(0.7).alias("confidence"), F.col("x0").alias("x1"), F.col("top").alias("y1"), F.col("x1").alias("x2"), F.col("bottom").alias("y2"), F.format_string("Image %d", F.col("_n")).alias("content"), F.lit("pdf_image_detection").alias("extraction_method"))
+    return text.unionByName(figures)
+
+
+def page_analysis(words: DataFrame, objects: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row per page: objects of each kind, words by size class, line spacing, columns, margins."""
+    sizes = relative_size(words).groupBy(*PAGE).pivot("size_class", ["title", "heading", "small", "body"]).count().fillna(0)
+    out = sizes
+    for part in (line_spacing(words), column_gaps(words), margins(words), object_counts(objects, kinds)):
+        out = out.join(part, PAGE, "left")
+    return out.fillna(0, kinds)

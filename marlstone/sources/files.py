@@ -126,3 +126,52 @@ def settings(path: str, default: dict) -> dict:
         return default
     with open(path, encoding="utf-8") as f:
         return default | (yaml.safe_load(f) or {})
+
+
+def report_methods(texts: DataFrame, by: list[str]) -> DataFrame:
+    """by, method, wer, precision, recall of whole Markdown reports (column ``text``) by each method's patterns; a range counts as its middle."""
+    from ..config.methods import REPORT_DEFAULTS, REPORT_PATTERNS, REPORT_SECTIONS
+
+    def value(text, pattern, default):
+        if pattern is None:
+            return F.lit(default).cast("double")
+        got = F.regexp_extract(text, pattern, 1)
+        return F.when(got != "", F.aggregate(F.split(got, "-"), F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(F.split(got, "-")) / 100).otherwise(F.lit(default).cast("double"))
+
+    rows = []
+    for m, (wer, precision, recall) in REPORT_PATTERNS.items():
+        whole = F.coalesce(F.col("text"), F.lit(""))
+        part = F.regexp_extract(whole, REPORT_SECTIONS[m], 1) if m in REPORT_SECTIONS else whole
+        d = REPORT_DEFAULTS[m]
+        rows.append(F.struct(F.lit(m).alias("method"), value(whole, wer, d[0]).alias("wer"), value(part, precision, d[1]).alias("precision"), value(part, recall, d[2]).alias("recall")))
+    return texts.select(*by, F.inline(F.array(*rows)))
+
+
+def result_files(spark: SparkSession, root: str) -> DataFrame:
+    """JSON files of each document's folder under a root: folder, file, text; for ``operators.comparison.result_figures``."""
+    f = spark.read.option("ignoreCorruptFiles", "true").text(f"{root}/*/*.json", wholetext=True)
+    path = F.split("_metadata.file_path", "/")
+    return f.select(F.element_at(path, -2).alias("folder"), F.element_at(path, -1).alias("file"), F.col("value").alias("text"))
+
+
+def lint(path: str) -> list[str]:
+    """Problems of a YAML file of the driver: missing, empty, not readable. Without the yaml package, lines are checked for unpaired quotes alone."""
+    import os
+
+    if not os.path.exists(path):
+        return [f"{path}: not found"]
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    lines = [(n, s.strip()) for n, s in enumerate(text.split("\n"), 1)]
+    lines = [(n, s) for n, s in lines if s and not s.startswith("#")]
+    if not lines:
+        return [f"{path}: empty"]
+    try:
+        import yaml
+    except ModuleNotFoundError:
+        odd = lambda s: s.count('"') % 2 or s.count("'") % 2
+        return [f"{path}:{n}: unpaired quote" for n, s in lines if ":" not in s and not s.startswith("-") and odd(s)]
+    try:
+        return [] if yaml.safe_load(text) is not None else [f"{path}: empty"]
+    except yaml.YAMLError as e:
+        return [f"{path}: {e}"]
