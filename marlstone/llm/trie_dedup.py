@@ -32,7 +32,7 @@ Payload = tuple[int, int, int, int, int]  # code points, best id, smallest id, r
 
 
 def merge(a: Payload, b: Payload) -> Payload:
-    """The better of two rows (has an id, then most code points, then smallest id), the smallest id and the sum of rows."""
+    """The better of two rows (most code points, then one with an id, then smallest id), the smallest id and the sum of rows."""
     best = max(a, b, key=lambda p: (p[0], p[4], -p[1]))
     ids = [p[2] for p in (a, b) if p[4]]
     return best[0], best[1], min(ids, default=0), a[3] + b[3], best[4]
