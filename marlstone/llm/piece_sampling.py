@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: k distinct segmentations per text by Gumbel top-k over the lattice.
 
-The lattice of a text is that of its words (split at blanks; a piece never spans two words), with an edge for each vocabulary piece and
-byte fallback where a character has none. Edges weigh log(1 / (2 + rank)) * alpha of the piece's rank, made into a distribution over
+The lattice of a text has an edge for each piece of the whole vocabulary, runs of blanks too, and byte fallback where a character has
+none. It is held as the lattices of words: a text is split at each blank that follows another character, and a blank belongs to the word
+after it. No piece spans such a place (a vocabulary that has one that does is told, and its texts are not split there), so nothing is
+left out. Edges weigh log(1 / (2 + rank)) * alpha of the piece's rank, made into a distribution over
 whole segmentations by the suffix sums of the lattice. Sampling without replacement is a best-first (A*) search on perturbed scores:
 the set of all segmentations has one Gumbel maximum; following its path, at each node the segmentations that leave the path form a set
 whose maximum is a Gumbel truncated below the path's own, which is an exact bound for all of them. The best open set is opened next, so
@@ -12,12 +14,13 @@ with one exact Gumbel, and get scores of their own, below it, if it is ever the
 All random numbers are hashes of (row key, sample, word, step), and all sums are over one state or one text, so a row's samples don't
 depend on where, when or beside what it is processed. Words that a worker has met keep their lattices (KEEP bounds them).
 
-Encoding is lossless: no normalisation, decoding gives back the text.
+Encoding is lossless: no normalisation, decoding gives back the text. A U+2581 in a text is no blank; it goes by its bytes.
 
 Defined results: null and empty texts give one sample without pieces (log p 0, inclusion 1); a text with fewer than k segmentations
 gives those it has; rows with a null id are keyed by their text; rows with equal ids and texts get equal samples. A word of over
-LONGEST code points is cut into blocks of as many, and no piece spans a cut, so that one endless word needs no endless lattice. Extra
-columns are ignored. An empty table gives an empty result.
+LONGEST code points is cut at the next places that no piece spans, which leaves its segmentations and their probabilities as they are;
+where there is no such place (a run of one character) its lattice is whole, at 32 bytes an edge. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._shared import Known, mix, only, ranges, segments, slices, text_col
+from ._shared import Known, mix, only, slices, text_col
 
 NEAR = 30.0  # nats of prefix up to which leaving sets are kept one by one; what lies further is one set until it is the best
-LONGEST = 1024  # code points of a word; longer ones are cut into blocks of as many
+LONGEST = 1024  # code points of a word from which it is cut at the next place that no piece spans
+AT_ONCE = 1 << 13  # code points of a word whose lattice is made in one go; that of a longer one is made from its end in blocks of as many
 KEEP = 6_000_000  # edges of known words that a worker holds (32 bytes each) before it starts anew
 _M = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = np.dtype([("cum", "f8"), ("logp", "f8"), ("src", "i4"), ("to", "i4"), ("piece", "i4"), ("_", "i4")])
+_APART = re.compile("(?<=[^ ]) ")
 _OUT = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, ids binary, text_sha256 string"
 
 
@@ -61,12 +68,13 @@ class Pieces:
                 self.byte[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.text[i] = piece.replace("▁", " ").encode()
-                if "▁" not in piece[1:]:
-                    found.setdefault(len(piece), []).append((piece, i, -np.log(2 - sp.get_score(i))))
-        sizes = np.zeros(max(self.text) + 1, np.int64)
+                piece = piece.replace("▁", " ")
+                self.text[i] = piece.encode()
+                found.setdefault(len(piece), []).append((piece, i, -np.log(2 - sp.get_score(i))))
+        self.apart = not any(_APART.search(r[0]) for rows in found.values() for r in rows)  # no piece spans two words
+        sizes = np.zeros(max(self.text) + 1, np.int32)
         sizes[list(self.text)] = [len(x) for x in self.text.values()]
-        self.at = np.cumsum(sizes) - sizes
+        self.at = np.cumsum(sizes, dtype=np.int32) - sizes
         self.sizes = sizes
         self.bytes = np.frombuffer(b"".join(self.text[i] for i in sorted(self.text)), np.uint8)
         self.longest = max(found)
@@ -82,9 +90,11 @@ class Pieces:
             order = np.argsort(h)
             seen = np.zeros(1 << 16, bool)
             seen[(h >> np.uint64(48)).astype(np.int64)] = True
-            self.tables[n] = (h[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order], seen)
+            bucket = np.searchsorted(h[order] >> np.uint64(48), np.arange(1 << 16, dtype=np.uint64)).astype(np.int32)  # where keys with those first 16 bits begin
+            keys = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+            self.tables[n] = (keys, np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order], seen, bucket)
         self.weight = np.zeros(max(self.text) + 1)
-        for _, ids, lp, _ in self.tables.values():
+        for _, ids, lp, _, _ in self.tables.values():
             self.weight[ids] = lp
         self.worst = min(t[2].min() for t in self.tables.values()) - 2.0
 
@@ -94,12 +104,68 @@ class Pieces:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def match(self, c: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
+        """By place and length, longest first: 1 + number of the piece there, 0 for none; a code point without a piece is kept as a
+        negative number. ``left``: characters that a piece at the place may have; places of the first ``most`` characters count."""
+        found = np.zeros((len(c), self.longest), np.int32)
+        h = np.zeros(len(c), np.uint64)
+        place = np.flatnonzero(left[:most] >= 1)
+        for size in range(1, self.longest + 1):
+            place = place[left[place] >= size]
+            if not len(place):
+                break
+            h[place] = g = h[place] * _M + c[place + size - 1] + np.uint64(1)
+            m = mix(g)
+            short = (m >> np.uint64(48)).astype(np.int64)
+            if size in self.tables:
+                keys, ids, _, seen, bucket = self.tables[size]
+                some = np.flatnonzero(seen[short])
+                want, at = m[some], bucket[short[some]]
+                got = keys[at]
+                on = np.flatnonzero(got < want)
+                while len(on):
+                    at[on] += 1
+                    got[on] = keys[at[on]]
+                    on = on[got[on] < want[on]]
+                ok = np.flatnonzero((got == want) & (at < len(ids)))
+                found[place[some[ok]], -size] = ids[at[ok]] + 1
+            if size == 1:
+                lack = place[found[place, -1] == 0]
+                found[lack, -1] = -1 - c[lack].astype(np.int32)
+            place = place[self.begins[size][short]]
+        return found
+
+    def match_long(self, c: np.ndarray, a: int, b: int) -> np.ndarray:
+        """``match`` at places a to b - 1 of one word's characters c."""
+        some = c[a : b + self.longest]
+        return self.match(some, len(c) - a - np.arange(len(some)), b - a)[: b - a]
+
+    def blocks(self, word: str) -> list:
+        """The word, or if it is too long its blocks, cut at the first places from LONGEST characters on that no piece spans. All but
+        the first are in a tuple, which tells them from a word."""
+        if len(word) <= LONGEST:
+            return [word]
+        c, reach, free = codes(" " + word), 0, []
+        for a in range(0, len(c), 1 << 16):
+            got = self.match_long(c, a, min(a + (1 << 16), len(c))) != 0
+            ends = np.maximum.accumulate(np.maximum(np.arange(a, a + len(got)) + self.longest - got.argmax(1), reach))
+            reach = int(ends[-1])
+            free.append(a + 1 + np.flatnonzero(ends == np.arange(a, a + len(got)) + 1))
+        free, cuts = np.concatenate(free), [1]
+        while cuts[-1] <= len(word):
+            cuts.append(int(free[np.searchsorted(free, min(cuts[-1] + LONGEST, len(c)))]))
+        parts = [word[x - 1 : y - 1] for x, y in zip(cuts, cuts[1:])]
+        return [parts[0], *((x,) for x in parts[1:])]
+
     def decode(self, ids: np.ndarray, most: int = 1 << 18) -> bytes:
         """UTF-8 bytes of the pieces' text, without the blank that stands before the first word."""
         parts = []
         for a in range(0, len(ids), most):
             some = ids[a : a + most]
-            parts.append(self.bytes[ranges(self.at[some], self.sizes[some])].tobytes())
+            n = self.sizes[some]
+            where = np.repeat(self.at[some] + n - np.cumsum(n, dtype=np.int32), n)
+            where += np.arange(len(where), dtype=np.int32)
+            parts.append(self.bytes[where].tobytes())
         return b"".join(parts)[1:]
 
 
@@ -121,6 +187,8 @@ class Lattice:
     def clear(self) -> None:
         self.first = Known()
         self.n_states, self.n_edges = 0, 0
+        if len(self.table) > 2 * KEEP:  # a long text's
+            self.table, self.lo = np.zeros(0, _EDGE), np.zeros(1, np.int32)
 
     def _room(self, states: int, edges: int) -> None:
         """Makes the tables large enough, by doubling. An edge's numbers lie side by side: they are read together, at random places."""
@@ -141,10 +209,10 @@ class Lattice:
         out, off, held, many = [], [0], [], 0
         for text in texts:
             n = 0
-            for part in segments(text) if text else ():
-                words = part.split(" ")
+            for part in (_segments(text) if self.model.apart else [text]) if text else ():
+                words = _split(part) if self.model.apart else [part]
                 if len(part) > LONGEST and len(max(words, key=len)) > LONGEST:
-                    words = [x for w in words for x in _blocks(w)]
+                    words = [x for w in words for x in self.model.blocks(w)]
                 held.append(words)
                 n += len(words)
                 many += len(words)
@@ -159,48 +227,36 @@ class Lattice:
         got = np.fromiter(map(self.first.__getitem__, itertools.chain.from_iterable(held)), np.int32, many)
         if self.first.new:
             new, self.first.new = self.first.new, []
-            at = np.concatenate([self._add(new[a : a + 4000]) for a in range(0, len(new), 4000)]).astype(np.int32)
+            size = np.fromiter(map(len, new if tuple not in set(map(type, new)) else (w[0] if isinstance(w, tuple) else w for w in new)), np.int64, len(new))
+            at = np.zeros(len(new), np.int32)
+            for i in np.flatnonzero(size >= AT_ONCE).tolist():
+                at[i] = self._add_long(new[i])
+            rest = np.flatnonzero(size < AT_ONCE)
+            lot = np.cumsum(size[rest] + 50) >> 18
+            for i in np.split(rest, np.flatnonzero(np.diff(lot)) + 1) if len(rest) else ():
+                at[i] = self._add(new[i[0] : i[-1] + 1] if i[-1] - i[0] == len(i) - 1 else [new[j] for j in i.tolist()])
             got = np.where(got < 0, at[np.maximum(-1 - got, 0)], got)
         return got
 
     def _add(self, words: list) -> np.ndarray:
         """Learns words; returns their first states."""
         model = self.model
-        whole = [w[0] if isinstance(w, tuple) else "▁" + w for w in words]
-        n = np.array([len(w) for w in whole])
+        whole = [w[0] if isinstance(w, tuple) else " " + w for w in words]
+        n = np.fromiter(map(len, whole), np.int64, len(whole))
         first = np.cumsum(n + 1) - (n + 1)  # each word has a state for each character and one for its end
-        c = np.frombuffer(("\0".join(whole) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        c = codes("\0".join(whole) + "\0")
         left = np.repeat(first + n, n + 1) - np.arange(len(c))  # characters up to the word's end
-        found = np.zeros((len(c), model.longest), np.int32)  # by state and length, longest first: 1 + number of the piece, 0 for none
-        h = np.zeros(len(c), np.uint64)
-        place = np.flatnonzero(left >= 1)
-        for size in range(1, model.longest + 1):
-            place = place[left[place] >= size]
-            if not len(place):
-                break
-            h[place] = g = h[place] * _M + c[place + size - 1] + np.uint64(1)
-            m = mix(g)
-            short = (m >> np.uint64(48)).astype(np.int64)
-            if size in model.tables:
-                keys, ids, _, seen = model.tables[size]
-                some = np.flatnonzero(seen[short])
-                at = np.minimum(np.searchsorted(keys, m[some]), len(keys) - 1)
-                ok = keys[at] == m[some]
-                found[place[some[ok]], -size] = ids[at[ok]] + 1
-            if size == 1:  # byte fallback: the code point is kept as a negative number
-                lack = place[found[place, -1] == 0]
-                found[lack, -1] = -1 - c[lack].astype(np.int32)
-            place = place[model.begins[size][short]]
+        found = model.match(c, left, len(c))
         flat = found.ravel()
         at = np.flatnonzero(flat)
         src, piece = at // model.longest, flat[at]
         to = src + model.longest - at % model.longest
-        w = np.where(piece < 0, model.worst, model.weight[piece - 1]) * self.alpha
+        w = np.where(piece < 0, model.worst, model.weight[np.maximum(piece - 1, 0)]) * self.alpha
         piece = np.where(piece < 0, piece, piece - 1)
         deg = np.bincount(src, minlength=len(c))
         lo = np.concatenate([[0], np.cumsum(deg)])
         beta, level = np.zeros(len(c)), left[src]
-        by = np.argsort(level.astype(np.uint16), kind="stable")  # words have LONGEST + 1 characters at most
+        by = np.argsort(level.astype(np.uint16), kind="stable")  # words have AT_ONCE characters at most
         cuts = np.searchsorted(level[by], np.arange(1, int(left.max(initial=0)) + 2))
         for a, b in zip(cuts, cuts[1:]):  # suffix sums, nearest to the words' ends first
             if b > a:
@@ -229,19 +285,58 @@ class Lattice:
         self.n_edges += len(src)
         return first
 
+    def _add_long(self, word: str | tuple) -> int:
+        """Learns one long word from its end on, block by block; returns its first state. Its states are numbered from the end."""
+        model = self.model
+        c = codes(word[0] if isinstance(word, tuple) else " " + word)
+        beta = [0.0] * (len(c) + 1)  # by characters up to the word's end
+        self._room(1, 0)
+        end = self.n_states  # the state of the word's end
+        self.lo[end + 1] = self.n_edges
+        self.n_states += 1
+        for b in range(len(c), 0, -AT_ONCE):
+            a = max(0, b - AT_ONCE)
+            flat = model.match_long(c, a, b)[::-1].ravel()
+            at = np.flatnonzero(flat)
+            piece = flat[at]
+            src = len(c) - b + 1 + at // model.longest
+            to = src - (model.longest - at % model.longest)
+            w = np.where(piece < 0, model.worst, model.weight[np.maximum(piece - 1, 0)]) * self.alpha
+            lo = np.concatenate([[0], np.cumsum(np.bincount(src - (len(c) - b + 1), minlength=b - a))])
+            weights, targets, bounds = w.tolist(), to.tolist(), lo.tolist()
+            cum = np.empty(len(src))
+            lp = np.empty(len(src))
+            for s, (x, y) in enumerate(zip(bounds, bounds[1:]), len(c) - b + 1):
+                v = [weights[e] + beta[targets[e]] for e in range(x, y)]
+                top = max(v)
+                beta[s] = top + math.log(sum(math.exp(z - top) for z in v))
+                lp[x:y] = v = [z - beta[s] for z in v]
+                cum[x:y] = list(itertools.accumulate(map(math.exp, v)))
+                cum[y - 1] = np.inf
+            self._room(b - a, len(src))
+            self.lo[self.n_states + 1 : self.n_states + 1 + b - a] = lo[1:] + self.n_edges
+            last = self.n_edges + len(src)
+            piece = np.where(piece < 0, piece, piece - 1)
+            for mine, more in ((self.cum, cum), (self.logp, lp), (self.src, src + end), (self.to, to + end), (self.piece, piece)):
+                mine[self.n_edges : last] = more
+            self.n_states += b - a
+            self.n_edges = last
+        self.first[word] = end + len(c)
+        return end + len(c)
 
     def walk(self, state: np.ndarray, key: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """Sampled edges from each state to its word's end, end to end, and the number of edges of each."""
         if len(state) > block:
             parts = [self.walk(state[a : a + block], key[a : a + block]) for a in range(0, len(state), block)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        steps, live, cur = [], np.arange(len(state)), state
+        steps, alone, live, cur = [], [], np.arange(len(state)), state
         count = np.zeros(len(state), np.int64)
         go = self.lo[cur] < self.lo[cur + 1]
         while True:
             if not go.all():
                 live, cur, key = live[go], cur[go], key[go]
-            if not len(live):
+            if len(live) <= 4:
+                alone = [(k, len(steps), self._walk_one(s, x, len(steps))) for k, s, x in zip(live.tolist(), cur.tolist(), key.tolist())]
                 break
             u, e = uniform(key, len(steps)), self.lo[cur]
             miss = np.flatnonzero(u >= self.cum[e])
@@ -252,15 +347,44 @@ class Lattice:
             count[live] += 1
             cur = self.to[e]
             go = self.lo[cur] < self.lo[cur + 1]
+        for k, _, path in alone:
+            count[k] += len(path)
         out, at = np.zeros(int(count.sum()), np.int32), np.cumsum(count) - count
         for t, (k, e) in enumerate(steps):
             out[at[k] + t] = e
+        for k, t, path in alone:
+            out[at[k] + t : at[k] + t + len(path)] = path
         return out, count
 
+    def _walk_one(self, state: int, key: int, step: int) -> array:
+        """The rest of one walk, from its step-th edge on; the same numbers as in ``walk``."""
+        path, lo, cum, to = array("i"), self.lo, self.cum, self.to
+        while (e := int(lo[state])) < lo[state + 1]:
+            u = uniform_one(key, step)
+            while u >= cum[e]:
+                e += 1
+            path.append(e)
+            state, step = int(to[e]), step + 1
+        return path
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _segments(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about ``most`` characters, cut where words end (those blanks go), so that a long text's words are never all
+    held as strings."""
+    a = 0
+    while cut := _APART.search(text, a + most):
+        yield text[a : cut.start()]
+        a = cut.end()
+    yield text[a:]
+
 
-def _blocks(word: str) -> list:
-    """The word, or if it is too long its first LONGEST code points and each further block in a tuple, which tells it from a word."""
-    return [word] if len(word) <= LONGEST else [word[:LONGEST], *((word[i : i + LONGEST],) for i in range(LONGEST, len(word), LONGEST))]
+def _split(part: str) -> list[str]:
+    """Words, without the one blank that each begins with: further ones stay, and so do all of those that a text begins with."""
+    return _APART.split(part) if "  " in part or part.startswith(" ") else part.split(" ")
 
 
 def uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -282,8 +406,8 @@ def mix_one(h: int) -> int:
     return h ^ (h >> 31)
 
 
-def uniform_one(key: int) -> float:
-    return ((mix_one(key + int(_M)) >> 11) + 0.5) * 2.0**-53
+def uniform_one(key: int, salt: int = 0) -> float:
+    return ((mix_one(key + (salt + 1) * int(_M)) >> 11) + 0.5) * 2.0**-53
 
 
 def gumbel_one(key: int) -> float:
@@ -323,13 +447,14 @@ class Path:
                 break
             n *= 2
         self.near = min(len(edges), max(fresh + 1, self.near))
+        rest = float(lp[self.near :].sum())
+        if rest > -1e-12 and self.near < len(edges):  # too near 1 to be held as one set
+            self.near, self.cum = len(edges), lp.cumsum()
         self.open = self._locations(lat, 0, self.near) + gumbel(uniform(mix(np.arange(self.near, dtype=np.uint64) + np.uint64(seed(5))), 0))
         self.open[:fresh] = -np.inf  # those sets belong to the path that this one left
         self.far = -np.inf
         if self.near < len(edges):
-            rest = float(lp[self.near :].sum())
-            if rest < 0:
-                self.far = float(self.cum[self.near - 1]) + math.log(-math.expm1(rest)) + gumbel_one(seed(6))
+            self.far = float(self.cum[self.near - 1]) + math.log(-math.expm1(rest)) + gumbel_one(seed(6))
         self.rate()
 
     def _locations(self, lat: Lattice, a: int, b: int) -> np.ndarray:
@@ -339,7 +464,11 @@ class Path:
         with np.errstate(divide="ignore"):
             out = self.cum[a:b] - lp + np.log(np.maximum(-np.expm1(lp), 0.0))
         state = lat.src[edges]
-        return np.where(lat.lo[state + 1] - lat.lo[state] < 2, -np.inf, out)  # an edge without a sibling can't be left
+        lone = lat.lo[state + 1] - lat.lo[state] < 2
+        for i in np.flatnonzero((lp > -1e-12) & ~lone).tolist():  # 1 - p has few digits left: its siblings' sum
+            lo, own = int(lat.lo[state[i]]), int(edges[i])
+            out[i] = self.cum[a + i] - lp[i] + np.logaddexp.reduce(np.delete(lat.logp[lo : lat.lo[state[i] + 1]], own - lo))
+        return np.where(lone, -np.inf, out)  # an edge without a sibling can't be left
 
     def rate(self) -> None:
         self.best = float(below(self.top, max(float(self.open.max(initial=-np.inf)), self.far)))
@@ -363,17 +492,18 @@ class Path:
         own, top = int(self.edges[t]), self.best
         state = int(lat.src[own])
         lo, hi = int(lat.lo[state]), int(lat.lo[state + 1])
-        weight = np.exp(lat.logp[lo:hi])
+        left = lat.logp[lo:hi].copy()
         used = self.used.setdefault(t, [own])
-        weight[np.array(used) - lo] = 0
+        left[np.array(used) - lo] = -np.inf
+        weight = np.exp(left - left.max())
         e = lo + int(np.searchsorted(np.cumsum(weight), uniform_one(seed(3)) * weight.sum(), side="right").clip(0, hi - lo - 1))
         while weight[e - lo] == 0:
             e -= 1
         used.append(e)
-        rest = weight.sum() - weight[e - lo]
+        left[e - lo] = -np.inf
         self.open[t] = -np.inf
-        if len(used) < hi - lo and rest > 1e-300:
-            g = float(self.cum[t] - lat.logp[own]) + np.log(rest) + gumbel_one(seed(4))
+        if len(used) < hi - lo:
+            g = float(self.cum[t] - lat.logp[own]) + np.logaddexp.reduce(left) + gumbel_one(seed(4))
             self.open[t] = untruncated(self.top, below(top, g))
         self.rate()
         return e

@@ -33,8 +33,8 @@ def op2_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sample is decoded again: text_sha256 is that of the decoded text, which must be the document's."""
-    return piece_sampling.sample_pieces(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False, with_digest=True).drop("ids")
+    """The ids of each sample. Each is decoded again: text_sha256 is that of the decoded text, which must be the document's."""
+    return piece_sampling.sample_pieces(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_digest=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out accuracy, with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import copy
 import hashlib
 import itertools
 import re
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from marlstone.llm import components, language_id, line_dedup, near_dedup, order_minhash, packing, piece_sampling, queries, sharding, toxicity, trie_dedup, warc
@@ -598,6 +600,84 @@ def test_piece_round_trip(docs, odd, nothing):
     assert piece_sampling.sample_pieces(nothing, path).count() == 0
 
 
+@pytest.mark.parametrize(("longest", "at_once", "apart"), [(1024, 8192, True), (2, 8192, True), (2, 3, True), (2, 3, False)])
+def test_piece_samples_are_all_segmentations(monkeypatch, longest, at_once, apart):
+    """Runs of blanks, U+2581, characters without a piece and words over LONGEST, against all segmentations by the whole vocabulary."""
+    monkeypatch.setattr(piece_sampling, "LONGEST", longest)
+    monkeypatch.setattr(piece_sampling, "AT_ONCE", at_once, raising=False)
+    path = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i).replace("▁", " "): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def every(text):
+        if not text:
+            yield (), 0.0
+        for n in range(1, len(text) + 1):
+            if text[:n] in known:
+                some, weight = (known[text[:n]],), -np.log(2 - sp.get_score(known[text[:n]]))
+            elif n == 1:  # the same on each way, so any weight does
+                some, weight = tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in text[0].encode()), 0.0
+            else:
+                continue
+            for ids, more in every(text[n:]):
+                yield some + ids, weight + more
+
+    model = copy.copy(piece_sampling.Pieces.of(path))
+    model.apart = apart  # False: as if a piece spanned two words
+    texts = [" ", "  a ", "a  b", "x     y", "a\n    b", "a▁b", "龘\U0001fae0 x", "thing", "yyyyyy", "漢字漢字", "a" * 7 + " b"]
+    lat = piece_sampling.Lattice(model, 1.0)
+    got = collections.defaultdict(dict)
+    for d, _, lp, _, _, ids in piece_sampling.sample(model, texts, piece_sampling.mix(np.arange(len(texts), dtype=np.uint64)), 1000, 1.0, lat):
+        assert tuple(ids.tolist()) not in got[d] and model.decode(ids).decode() == texts[d]
+        got[d][tuple(ids.tolist())] = lp
+    for d, text in enumerate(texts):
+        want = dict(every(" " + text))
+        total = np.log(sum(np.exp(w) for w in want.values()))
+        assert len(want) < 1000 and got[d].keys() == want.keys(), text
+        assert max(abs(got[d][ids] - w + total) for ids, w in want.items()) < 1e-6, text
+
+
+@pytest.mark.parametrize("near", [30.0, 0.01])
+def test_piece_samples_of_little_weight(monkeypatch, near):
+    """Segmentations whose probability is under the rounding of the best one's are found too."""
+    monkeypatch.setattr(piece_sampling, "NEAR", near)
+    model = piece_sampling.Pieces.of(queries.tokenizer("piece_bpe_32k.model"))
+    texts, found = ["the", "thing", "a b"], []
+    for alpha in (1.0, 4.0, 60.0):
+        lat = piece_sampling.Lattice(model, alpha)
+        found.append({(x[0], tuple(x[5].tolist())) for x in piece_sampling.sample(model, texts, piece_sampling.mix(np.arange(3, dtype=np.uint64)), 1000, alpha, lat)})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 30
+
+
+def test_piece_words_of_segments():
+    text = "  a b  c\n   d " + " " * 9 + "e"
+    words = piece_sampling._split(text)
+    assert words == ["  a", "b", " c\n", "  d", " " * 9 + "e"] and " ".join(words) == text
+    assert all([w for part in piece_sampling._segments(text, n) for w in piece_sampling._split(part)] == words for n in range(1, 30))
+
+
+def test_piece_words_without_an_end():
+    """A word without a place to cut gets its whole lattice; one with such places has the same log p in one lattice and in its blocks."""
+    model = piece_sampling.Pieces.of(queries.tokenizer("piece_bpe_32k.model"))
+    keys = piece_sampling.mix(np.arange(3, dtype=np.uint64))
+    texts = ["y" * 20000, " " * 20000 + "x", "the漢字" * 1000]
+    out = list(piece_sampling.sample(model, texts, keys, 2, 1.0, piece_sampling.Lattice(model, 1.0)))
+    assert len(out) == 6 and all(model.decode(x[5]).decode() == texts[x[0]] for x in out)
+    assert model.blocks(texts[0]) == [texts[0]] and len(model.blocks(texts[2])) > 3 and "".join(x if isinstance(x, str) else x[0] for x in model.blocks(texts[2])) == texts[2]
+    assert max(len(x[5]) for x in out if x[0] == 1) < 3000  # runs of blanks are pieces
+
+
+def test_piece_query_gives_ids(spark, sf):
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    out = queries.op3_piece_sampling(spark, sf).collect()
+    assert {r["doc_id"] for r in out} == set(texts)
+    for r in out:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["n_pieces"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        assert sp.decode(ids) == texts[r["doc_id"]] and hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() == r["text_sha256"]
+
+
 def test_join_hot(spark):
     big = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(3000)] + [(-1, None)], "id int, key string")
     small = big.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
