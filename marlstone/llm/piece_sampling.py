@@ -45,7 +45,7 @@ from ._shared import Known, mix, only, slices, text_col
 NEAR = 30.0  # nats of prefix up to which leaving sets are kept one by one; what lies further is one set until it is the best
 LONGEST = 1024  # code points of a word from which it is cut at the next place that no piece spans
 AT_ONCE = 1 << 13  # code points of a word whose lattice is made in one go; that of a longer one is made from its end in blocks of as many
-KEEP = 6_000_000  # edges of known words that a worker holds (32 bytes each) before it starts anew
+KEEP = 3_000_000  # edges of known words that a worker holds (32 bytes each) before it starts anew
 _M = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = np.dtype([("cum", "f8"), ("logp", "f8"), ("src", "i4"), ("to", "i4"), ("piece", "i4"), ("_", "i4")])
 _APART = re.compile("(?<=[^ ]) ")
@@ -177,7 +177,6 @@ class Lattice:
 
     def __init__(self, model: Pieces, alpha: float) -> None:
         self.model, self.alpha = model, alpha
-        self.table, self.lo = np.zeros(0, _EDGE), np.zeros(1, np.int32)
         self.clear()
 
     @classmethod
@@ -187,16 +186,19 @@ class Lattice:
     def clear(self) -> None:
         self.first = Known()
         self.n_states, self.n_edges = 0, 0
-        if len(self.table) > 2 * KEEP:  # a long text's
-            self.table, self.lo = np.zeros(0, _EDGE), np.zeros(1, np.int32)
+        self.table, self.lo = np.zeros(0, _EDGE), np.zeros(1, np.int32)
 
     def _room(self, states: int, edges: int) -> None:
-        """Makes the tables large enough, by doubling. An edge's numbers lie side by side: they are read together, at random places."""
+        """Makes the tables large enough. That of edges begins with room for twice KEEP, of which only what is filled takes memory, so
+        that it is not copied as it grows; a long text's grows in place by a step. An edge's numbers lie side by side: they are read
+        together, at random places."""
         if self.n_edges + edges > len(self.table):
-            wide = np.zeros(max(self.n_edges + edges, 2 * len(self.table)), _EDGE)
-            wide[: self.n_edges] = self.table[: self.n_edges]
-            self.table = wide
-            self.cum, self.logp, self.src, self.to, self.piece = (wide[x] for x in _EDGE.names[:5])
+            self.cum = self.logp = self.src = self.to = self.piece = None  # views of it, which may move
+            if self.n_edges:
+                self.table.resize(max(self.n_edges + edges, len(self.table) + (1 << 20)), refcheck=False)
+            else:
+                self.table = np.zeros(max(edges, 2 * KEEP), _EDGE)
+            self.cum, self.logp, self.src, self.to, self.piece = (self.table[x] for x in _EDGE.names[:5])
         if self.n_states + states >= len(self.lo):
             wide = np.zeros(max(self.n_states + states + 1, 2 * len(self.lo)), np.int32)
             wide[: self.n_states + 1] = self.lo[: self.n_states + 1]
@@ -571,7 +573,7 @@ def _samples(path: str, k: int, alpha: float, with_ids: bool, with_digest: bool)
         only("pieces", Lattice._by_model.clear)
         model = Pieces.of(path)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.string()]
-        for part in slices(it, "text", 2 << 20):
+        for part in slices(it, "text", 1 << 20):
             texts, doc_ids = text_col(part, "text").to_pylist(), part.column("doc_id").to_pylist()
             keys = np.array([xxhash.xxh3_64_intdigest(str(i) if i is not None else "text " + t) for i, t in zip(doc_ids, texts)], np.uint64)
             rows = []

@@ -5,6 +5,8 @@ import copy
 import hashlib
 import itertools
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -667,6 +669,30 @@ def test_piece_words_without_an_end():
     assert max(len(x[5]) for x in out if x[0] == 1) < 3000  # runs of blanks are pieces
 
 
+def test_piece_memory_of_new_words():
+    """A worker that meets new words without end: its peak above what it began with. An executor has two beside its JVM."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from marlstone.llm import piece_sampling, queries
+def mb(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+letters = np.random.default_rng(5).choice(list("aeinorst"), (300_000, 9))
+words = ["".join(x) for x in letters.tolist()]
+texts = [" ".join(words[a : a + 500]) for a in range(0, len(words), 500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+path = queries.tokenizer("piece_bpe_32k.model")
+piece_sampling.Pieces.of(path)
+del letters, words, texts
+open("/proc/self/clear_refs", "w").write("5")
+before = mb("VmRSS")
+n = sum(r.num_rows for r in piece_sampling._samples(path, 2, 1.0, True, True)(iter([batch])))
+print(n, mb("VmHWM") - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert out[0] == "1200" and float(out[1]) < 250, out
+
+
 def test_piece_query_gives_ids(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
