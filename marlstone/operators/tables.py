@@ -42,7 +42,10 @@ def clean(cells: DataFrame) -> DataFrame:
 
 
 def shape(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(KEY).agg(F.countDistinct("row_idx").alias("n_rows"), F.countDistinct("col_idx").alias("n_cols"))
+    """Rows and columns of each table, nulls apart. (Two distinct counts side by side would shuffle cells that already lie by table.)"""
+    at = F.inline(F.array(F.struct(F.lit(0).alias("axis"), F.col("row_idx").alias("at")), F.struct(F.lit(1).alias("axis"), F.col("col_idx").alias("at"))))
+    each = cells.select(KEY, at).distinct()
+    return each.groupBy(KEY).agg(*[F.count(F.when(F.col("axis") == k, F.col("at"))).alias(n) for k, n in enumerate(("n_rows", "n_cols"))])
 
 
 def columns_numeric(cells: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..backends.base import element, extract, plain_text
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import tables as C
-from .registry import query, table
+from .registry import dealt, query, table
 
 # Blocks of pages by four methods: title element, headings, all paragraphs; a document is 10 pages.
 _PAGES = """
@@ -126,7 +126,7 @@ _CELLS = """c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS row_idx, k
 
 
 def _cells(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag")])  # repeated keys
+    li = dealt(table(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag")])  # repeated keys
     text = F.array(
         F.concat(F.lit(" "), F.when(F.col("l_suppkey") % 3 == 0, "Total cash").when(F.col("l_suppkey") % 3 == 1, "Net income").otherwise("Units")),
         F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey").cast("string")), F.when(F.col("l_suppkey") % 4 == 0, "").otherwise(F.col("l_suppkey").cast("string")), F.col("l_returnflag"),

@@ -12,11 +12,13 @@ from marlstone.config.labels import LABELS, WEIGHTY
 from marlstone.functions import fuzzy, text, values
 from marlstone.operators import blocks, layout, mapping, methods, recon, tables
 from marlstone.plans import recon as plans
-from marlstone.plans import registry, scalars  # noqa: F401  the module registers its queries
+from marlstone.plans import documents, layouts, registry, scalars  # noqa: F401  the modules register their queries
 from marlstone.sinks import write
 from marlstone.sources import facts, files
 from marlstone.streaming import events
 
+from .compare import duck_rows, spark_rows, tables_of
+
 
 def one(spark, expr, schema=None, *row):
     df = spark.createDataFrame([row], schema) if schema else spark.range(1)
@@ -176,6 +178,20 @@ def test_ragged_rows(spark):
     assert sorted(tuple(r["cells"]) for r in tables.square(rows).collect()) == [("a", "Col_1", "Col_2"), ("b", "", "c")]
 
 
+@pytest.mark.parametrize("name", ["p03_valid_tables"])
+def test_tasks_grow_with_the_table(spark, sf, name, monkeypatch):
+    """A query of words or cells takes so many more tasks as its table has more rows, after one shuffle, with the results of its SQL."""
+    monkeypatch.setattr(registry, "SHARE", 150)
+    df = registry.QUERIES[name](spark, sf)
+    assert df.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 150)
+    assert spark_rows(df) == duck_rows(registry.ORACLE[name], tables_of(sf))
+
+
+def test_shape_counts_no_nulls(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, None), (1, 1, 0, ""), (1, 1, 0, "b"), (2, None, 0, "a"), (None, 5, None, "a")], "table_id int, row_idx long, col_idx int, value string")
+    assert {tuple(r) for r in tables.shape(cells).collect()} == {(1, 2, 2), (2, 0, 1), (None, 1, 0)}
+
+
 def test_facts_csv_and_tables(spark, tmp_path):
     (tmp_path / "facts.csv").write_text('a,b,c,d,,2024-01-28,2023-01-29\n1,1,1,1,Total revenue,"1,000",2\n1,1,1,1,Revenue,7,\n')
     f = facts.read_csv(spark, str(tmp_path / "facts.csv"))
