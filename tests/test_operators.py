@@ -61,6 +61,17 @@ def test_edit_distance(a, b):
         assert fuzzy.edit_distance(x, y) == brute_distance(x, y)
 
 
+def test_edit_distance_looks_where_the_texts_can_meet(monkeypatch):
+    """126 edits in 12,000 characters: far fewer runs of equal characters are followed than there are pairs of diagonal and edits."""
+    a = "".join(chr(97 + k * k % 23) + chr(97 + k % 25) for k in range(5950)) + "rn" * 50
+    b = a[:5000].replace("ab", "c", 50) + a[5000:-100] + "m" * 50
+    calls, same = [], fuzzy._same
+    monkeypatch.setattr(fuzzy, "_same", lambda *x: calls.append(x) or same(*x))
+    got = fuzzy.edit_distance(a, b)
+    assert got == 2 * a[:5000].count("ab") + 2 * 50 == 126
+    assert len(calls) < got * got / 10
+
+
 def test_text_error_rate_of_whole_texts(spark, tmp_path):
     late = "plain text " * 40 + "corner barn\nurn"
     rows = [(0, late), (1, late), (2, "née 🙂 born\n" * 100), (3, ""), (4, None), (6, "a")]
