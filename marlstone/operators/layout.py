@@ -31,7 +31,7 @@ def gap_blocks(words: DataFrame, gap: float = 20, least: int = 3) -> DataFrame:
 def boxes(words: DataFrame, by: list[str]) -> DataFrame:
     """Union box of each group, with its text in reading order."""
     lo, hi = lambda a, b: F.min(F.least(a, b)), lambda a, b: F.max(F.greatest(a, b))
-    g = words.groupBy(*by).agg(F.count("*").alias("words"), lo("x0", "x1").alias("x1"), lo("top", "bottom").alias("y1"), hi("x0", "x1").alias("x2"), hi("top", "bottom").alias("y2"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "ord", "text"))), lambda v: v["text"]), " ").alias("text"))
+    g = words.groupBy(*by).agg(F.count("*").alias("words"), lo("x0", "x1").alias("x1"), lo("top", "bottom").alias("y1"), hi("x0", "x1").alias("x2"), hi("top", "bottom").alias("y2"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("top", "x0", "ord", "text"))), lambda v: v["text"]), " ").alias("text"))
     return g.withColumn("width", F.col("x2") - F.col("x1")).withColumn("height", F.col("y2") - F.col("y1"))
 
 

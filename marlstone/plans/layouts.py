@@ -10,7 +10,7 @@ from ..operators import methods as X
 from ..sinks import write as W
 from ..streaming import events as E
 from .documents import _PAGES, _blocks, _rounded
-from .registry import query, table
+from .registry import dealt, query, table
 
 # Words on pages from line items, 400 orders to a page; places are made unique by the row's number in its order.
 _WORDS = """w AS (SELECT 'd' AS doc_id, l_orderkey // 400 + 1 AS page_number, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ord,
@@ -21,10 +21,10 @@ _WORDS = """w AS (SELECT 'd' AS doc_id, l_orderkey // 400 + 1 AS page_number, l_
 def _words(spark, d):
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    li = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 1000 + F.row_number().over(order))
+    order = Window.partitionBy("page_number", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    li = dealt(table(spark, d, "lineitem").withColumn("page_number", F.expr("l_orderkey div 400 + 1")), "page_number").withColumn("ord", F.col("l_orderkey") * 1000 + F.row_number().over(order))
     return li.selectExpr(
-        "'d' AS doc_id", "l_orderkey div 400 + 1 AS page_number", "cast(ord AS bigint) AS ord", "l_returnflag || l_linestatus || l_linenumber AS text", "l_quantity * 10 AS x0", "l_quantity * 10 + 5 * l_linenumber + 10 AS x1",
+        "'d' AS doc_id", "page_number", "cast(ord AS bigint) AS ord", "l_returnflag || l_linestatus || l_linenumber AS text", "l_quantity * 10 AS x0", "l_quantity * 10 + 5 * l_linenumber + 10 AS x1",
         "cast(l_partkey * 37 % 7000 AS double) AS top", "cast(l_partkey * 37 % 7000 + 8 + l_suppkey % 20 AS double) AS bottom",
         "CASE l_returnflag WHEN 'A' THEN 'Times-Bold' WHEN 'N' THEN 'Helvetica-Oblique' ELSE 'Courier' END AS fontname", "cast(8 + l_suppkey % 12 AS double) AS size",
     )

@@ -189,7 +189,7 @@ def test_ragged_rows(spark):
     assert sorted(tuple(r["cells"]) for r in tables.square(rows).collect()) == [("a", "Col_1", "Col_2"), ("b", "", "c")]
 
 
-@pytest.mark.parametrize("name", ["p03_valid_tables", "a09_table_quality", "p06_financial_tables"])
+@pytest.mark.parametrize("name", ["p03_valid_tables", "a09_table_quality", "p06_financial_tables", "p21_min_text"])
 def test_tasks_grow_with_the_table(spark, sf, name, monkeypatch):
     """A query of words or cells takes so many more tasks as its table has more rows, after one shuffle, with the results of its SQL."""
     monkeypatch.setattr(registry, "SHARE", 150)
